@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, urls
+from . import decontamination, language, substrings, urls
 
 QUERIES = {
+    "op1_substring_dedup": substrings.query,
     "op2_url_filters": urls.query,
     "op5_benchmark_decontamination": decontamination.query,
+    "op10_language_id": language.query,
 }
 
 ORACLES = {
