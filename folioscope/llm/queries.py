@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, substrings, urls
+from . import decontamination, jaccard, language, substrings, urls
 
 QUERIES = {
     "op1_substring_dedup": substrings.query,
     "op2_url_filters": urls.query,
     "op5_benchmark_decontamination": decontamination.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op10_language_id": language.query,
 }
 
