@@ -1,11 +1,9 @@
-"""What the operators of this subpackage share: lineage cuts, checked broadcasts, Arrow plumbing."""
+"""What the operators of this subpackage share: lineage cuts and checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,34 +11,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, with its lineage cut.
-
-    The folder is the one that spark.checkpoint.dir names; only where it is unset (tests on one machine) a
-    temporary folder is taken.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where it is unset (tests on one machine) a temporary one."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcasting if a count proves that it has at most ``rows`` rows; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def per_batch(make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]):
-    """A mapInArrow function: ``make`` runs once in a task and gives what handles each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        handle = make()
-        for batch in batches:
-            yield from handle(batch)
-
-    return run
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

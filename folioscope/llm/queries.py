@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language, substrings, urls
+from . import decontamination, jaccard, language, lines, pieces, substrings, urls
 
 QUERIES = {
     "op1_substring_dedup": substrings.query,
     "op2_url_filters": urls.query,
+    "op3_line_dedup": lines.query,
     "op5_benchmark_decontamination": decontamination.query,
     "op6_ngram_jaccard_join": jaccard.query,
+    "op8_sentencepiece": pieces.query,
     "op10_language_id": language.query,
 }
 
