@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small
+from .common import cut, small
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -52,7 +52,7 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: floa
     # each hash once, so that a shingle that many items share does not multiply the probes
     probe = docs.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes(width)).alias("h"))
     hits = probe.join(small(sketch.select("h").distinct()), "h", "left_semi").distinct()
-    candidates = hits.join(small(sketch), "h").select("doc_id", "item_id").distinct()
+    candidates = cut(hits.join(small(sketch), "h").select("doc_id", "item_id").distinct())
 
     ids = candidates.select("doc_id").distinct()
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
