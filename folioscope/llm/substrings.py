@@ -149,7 +149,9 @@ def repeats(docs: DataFrame, whole: int = 20, levels: int = 3) -> DataFrame:
     marked = rows.join(own, rows.doc_id.eqNullSafe(own._d), "left").drop("_d")
     for level in range(len(steps) - 1):
         source = rows if level == 0 else _with(marked.where("own").drop("own"), found)
-        found.append(cut(_returned(_unique(_search(source, steps, level)), f"u{level}")))
+        unique = _returned(_unique(_search(source, steps, level)), f"u{level}")
+        # the first level reads the source; the others share one exchange of the texts, so they stay in one plan
+        found.append(cut(unique) if level == 0 else unique)
     known = _with(marked, found)
     first = _returned(_first(_search(known.where("own").drop("own"), steps, len(steps) - 1)), "first")
     return _with(known, [first]).mapInArrow(_remover(steps), _schema(docs))
