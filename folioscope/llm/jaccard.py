@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .components import Forest, components
 from .wordhash import U64, chunks, mix, split, windows
 
@@ -61,21 +61,40 @@ def sets_of(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + k, np.zeros(0, U64)
 
 
-def _signatures(width: int, percent: int):
-    """doc_id, size, 128-bit digest of the set, and the 2 d + 1 least hashes."""
+def _digest(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that equal sets share."""
+    if not len(own):
+        return 0, 0
+    return int(mix(own).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(own ^ U64(0x5851F42D4C957F2D))).view(np.int64))
+
+
+def _signatures(width: int):
+    """doc_id, size and digest of the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sizes, one, two, least = [], [], [], [], []
+            rows, sizes, digests = [], [], []
             for row, own in sets_of(batch.column("text"), width):
                 rows.append(row)
                 sizes.append(len(own))
-                one.append(int(mix(own).sum().view(np.int64)) if len(own) else 0)
-                two.append(int(np.bitwise_xor.reduce(mix(own ^ U64(0x5851F42D4C957F2D))).view(np.int64)) if len(own) else 0)
-                least.append(own[: 2 * slack(len(own), percent) + 1].view(np.int64))
+                digests.append(_digest(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(least, pa.list_(pa.int64()))],
-                ["doc_id", "n", "s1", "s2", "least"])
+                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), *(pa.array([x[k] for x in digests], pa.int64()) for k in range(2))], ["doc_id", "n", "s1", "s2"])
+
+    return run
+
+
+def _least(width: int, percent: int):
+    """(t, s1): the 2 d + 1 least hashes of each text's set, with the set's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, classes = [np.zeros(0, np.int64)], []
+            for _, own in sets_of(batch.column("text"), width):
+                if len(own):
+                    tokens.append(own[: 2 * slack(len(own), percent) + 1].view(np.int64))
+                    classes.append((_digest(own)[0], len(tokens[-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array([c for c, _ in classes], np.int64), [n for _, n in classes]))], ["t", "s1"])
 
     return run
 
@@ -161,20 +180,19 @@ def _blocks(percent: int):
     return run
 
 
-def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2, least of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(width, percent), "doc_id long, n long, s1 long, s2 long, least array<long>")
-
-
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """A forest (a, b) with the same components as all links between the representatives (doc_id, n, least)."""
+    """A forest (a, b) with the same components as all links between the representatives (doc_id, n, s1)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = F.expr(f"n - cast(ceil(n * {percent} / 100.0) as long)")
     # a partner may be smaller: both hold at least min(d, d') + 1 of each other's least shingles
     least = F.expr(f"least(d, cast(floor(n * {percent} / 100.0) as long) - cast(ceil(floor(n * {percent} / 100.0) * {percent} / 100.0) as long)) + 1")
-    tokens = reps.where("n > 0").select("doc_id", "n", d.alias("d"), F.explode("least").alias("t"))
-    lone = tokens.groupBy("t").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
-    left = reps.where("n > 0").withColumn("d", d).join(lone, "doc_id", "left").where(F.size("least") - F.coalesce("lone", F.lit(0)) >= least)
-    tokens = cut(left.select("doc_id", "n", "d", F.explode("least").alias("t")))
+    # shingles of one class only, counted by class
+    lone = (docs.select("text").mapInArrow(_least(width, percent), "t long, s1 long").groupBy("t").agg(F.min("s1").alias("s1"), F.max("s1").alias("_m"))
+            .where("s1 = _m").groupBy("s1").agg(F.count("*").alias("lone")))
+    left = cut(reps.where("n > 0").withColumn("d", d).join(lone, "s1", "left").where(F.least(F.col("n"), 2 * F.col("d") + 1) - F.coalesce("lone", F.lit(0)) >= least).select("doc_id", "n", "d"))
+    texts = docs.join(small(left.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    full_sets = cut(texts.mapInArrow(_full(width), "doc_id long, own array<long>"))
+    tokens = full_sets.join(left, "doc_id").select("doc_id", "n", "d", F.explode(F.expr("slice(own, 1, cast(2 * d + 1 as int))")).alias("t"))
     shared = tokens.groupBy("t").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).where("c > 1")
     tokens = cut(tokens.join(shared, "t"))
     # sets that have the same pivot for most of their shingles lie together; large groups are cut by a hash
@@ -203,18 +221,16 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     parts = F.expr("explode(sequence(0L, parts - 1))").alias("part")
     rows = home.join(crowd, "block").select("doc_id", "block", parts, F.lit(False).alias("asks")).unionByName(
         ask.join(crowd, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).alias("part"), F.lit(True).alias("asks")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(home.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full_sets = cut(texts.mapInArrow(_full(width), "doc_id long, own array<long>"))
     return (rows.join(full_sets, "doc_id").repartition("block", "part").sortWithinPartitions("block", "part", "asks")
             .select("block", "part", "asks", "doc_id", "own").mapInArrow(_blocks(percent), "a long, b long"))
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every row."""
-    rows = cut(classes(docs, width, percent))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(width), "doc_id long, n long, s1 long, s2 long"))
     key = ["n", "s1", "s2"]
-    reps = cut(rows.where("doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("doc_id"), F.any_value("least").alias("least")))
-    found = components(links(docs, reps.select("doc_id", "n", "least"), width, percent))
+    reps = cut(rows.where("doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("doc_id")))
+    found = components(links(docs, reps, width, percent))
     rep = reps.where("n > 0").join(found, reps.doc_id == found.node, "left").select(*key, F.coalesce("root", "doc_id").alias("root"))
     return rows.join(rep, key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
