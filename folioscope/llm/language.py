@@ -17,13 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .wordhash import U64, chunks, split, windows
 
 #: Labelled rows that the model is fitted on, about.
-MAX_TRAIN = 6000
+MAX_TRAIN = 2000
 ORDERS = (5, 4, 3, 2, 1)
 #: Words seen fewer times are left to the n-grams.
 MIN_COUNT = 2
@@ -72,28 +73,28 @@ class LanguageModel:
     gram: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes, log frequencies
 
     @staticmethod
-    def fit(counts: list[tuple[str, str, int]]) -> LanguageModel:
-        """From (language, word, count)."""
-        languages = sorted({x for x, _, _ in counts})
-        at = {x: k for k, x in enumerate(languages)}
-        words = sorted({w for _, w, _ in counts})
-        place = {w: k for k, w in enumerate(words)}
+    def fit(counts: pa.Table) -> LanguageModel:
+        """From lang, word and n: arrays only, for the driver's memory is small."""
+        if not counts.num_rows:
+            return LanguageModel([], np.zeros(0, U64), np.zeros((0, 0), np.float32), {})
+        languages = sorted(pc.unique(counts["lang"]).to_pylist())
+        lang = pc.index_in(counts["lang"], pa.array(languages, pa.string())).combine_chunks().to_numpy()
+        coded = counts["word"].combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        words, place = coded.dictionary, coded.indices.to_numpy()
         table = np.zeros((len(words), len(languages)))
-        for lang, word, n in counts:
-            table[place[word], at[lang]] += n
+        np.add.at(table, (place, lang), counts["n"].to_numpy())
         known = table.sum(1) >= MIN_COUNT
-        hashed = letters(pa.array(words, pa.string())).hash if words else np.zeros(0, U64)
+        hashed = letters(words).hash
         order = np.argsort(hashed[known])
         gram = {}
-        if words:
-            points, rest = _grams(words)
-            sizes = np.array([len(w) + 2 for w in words])
-            owner = np.repeat(np.arange(len(words)), sizes)
-            for n in ORDERS:
-                ok = np.flatnonzero(rest >= n)
-                keys, inverse = np.unique(windows(points, n)[ok], return_inverse=True)
-                sums = np.stack([np.bincount(inverse, table[owner[ok], k], len(keys)) for k in range(len(languages))], 1)
-                gram[n] = keys, LanguageModel.log_frequency(sums)
+        points, rest = _grams(words.to_pylist())
+        owner = np.cumsum(points == 1) - 1  # each word is opened by a 1
+        for n in ORDERS:
+            ok = np.flatnonzero(rest >= n)
+            keys, inverse = np.unique(windows(points, n)[ok], return_inverse=True)
+            sums = np.stack([np.bincount(inverse, table[owner[ok], k], len(keys)) for k in range(len(languages))], 1)
+            gram[n] = keys, LanguageModel.log_frequency(sums)
         return LanguageModel(languages, hashed[known][order], LanguageModel.log_frequency(table)[known][order], gram)
 
     @staticmethod
@@ -167,7 +168,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
         for batch in batches:
             langs = batch.column("lang")
             for lang in langs.unique().to_pylist():
-                texts = batch.column("text").filter(pa.compute.equal(langs, lang))
+                texts = batch.column("text").filter(pc.equal(langs, lang))
                 for i, j in chunks(texts, 4 << 20):
                     w = letters(texts.slice(i, j - i))
                     _, where, n = np.unique(w.hash, return_index=True, return_counts=True)
@@ -176,7 +177,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())})
 
     found = rows.mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return LanguageModel.fit([tuple(x) for x in found.toPandas().itertuples(index=False)] if count else [])
+    return LanguageModel.fit(found.toArrow())
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
