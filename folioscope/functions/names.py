@@ -29,7 +29,7 @@ def words(text: str) -> list[str]:
 
 def utf16(text: str) -> int:
     """Length in UTF-16 code units."""
-    return len(text) + sum(ch > "￿" for ch in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def base36(n: int) -> str:

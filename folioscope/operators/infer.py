@@ -39,7 +39,7 @@ def field_facts(kv: DataFrame, groups: DataFrame, by: str = "grp") -> DataFrame:
         *[whole(F.col("json_type") == t).alias(f"all_{t}") for t in ("number", "boolean", "string", "array", "object")],
         *[whole(string & matches_format(text, f)).alias(f"is_{f}") for f in FORMATS])
     values = (top.where(some & string).groupBy(by, "key", "value").agg(F.min(F.struct("doc_id", "ord")).alias("at")).groupBy(by, "key")
-              .agg(F.when(F.count("*") <= MAX_ENUM, F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value)).alias("values")))
+              .agg(F.when(F.count("*") <= MAX_ENUM, F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])).alias("values")))
     files = groups.groupBy(by).agg(F.count("*").alias("files"))
     return facts.join(values, [by, "key"], "left").join(files, by)
 
@@ -52,14 +52,14 @@ def section_facts(sections: DataFrame, by: str = "grp") -> DataFrame:
 
 def sequences(sections: DataFrame, groups: DataFrame, by: str = "grp") -> DataFrame:
     """For each group the number of distinct heading sequences: 1 means that the order is strict."""
-    top = sections.where("parent_id = 0").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x.name).alias("names"))
+    top = sections.where("parent_id = 0").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
     return groups.join(top, "doc_id", "left").groupBy(by).agg(F.count_distinct(F.to_json(F.coalesce("names", F.array().cast("array<string>")))).alias("sequences"))
 
 
 def precedence(sections: DataFrame, by: str = "grp") -> DataFrame:
     """Pairs of headings (a, b) where a stands before b in some document of a group; pairs within a document only."""
     top = sections.where("parent_id = 0").select(by, "doc_id", "ord", "name")
-    names = top.groupBy(by, "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x.name).alias("s"))
+    names = top.groupBy(by, "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("s"))
     pairs = F.flatten(F.transform("s", lambda x, k: F.transform(F.slice(F.col("s"), k + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return names.select(by, F.inline(F.array_distinct(pairs))).where("a <> b").distinct()
 

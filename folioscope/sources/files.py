@@ -19,8 +19,7 @@ def read_tree(spark: SparkSession, root: str, include: tuple[str, ...] = (), exc
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if suffix:
         files = files.option("pathGlobFilter", f"*{suffix}")
-    at = F.instr("path", base)
-    files = files.load(root).select(F.expr(f"substring(path, instr(path, '{base}') + {len(base)})").alias("path"), "content").where(at > 0)
+    files = files.load(root).where(F.instr("path", base) > 0).select(F.expr(f"substring(path, instr(path, '{base}') + {len(base)})").alias("path"), "content")
     return pre_filter(files, include, exclude).select("path", F.decode("content", "UTF-8").alias("source"))
 
 

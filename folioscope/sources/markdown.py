@@ -81,26 +81,25 @@ def _indent(text: str) -> int:
     return len(text) - len(text.lstrip(" "))
 
 
+_BAR = re.compile(r"(?:[^\\|]|\\.|\\$)*")
+
+
 def _cells(text: str) -> list[tuple[str, int]]:
     """Cells of a table row and the offset of each one's text."""
-    start = len(text) - len(text.lstrip())
     body = text.rstrip()
-    k = start + (body[start : start + 1] == "|")
-    out, begin = [], k
-    while k < len(body):
-        if body[k] == "\\" and k + 1 < len(body):
-            k += 2
-            continue
-        if body[k] == "|":
-            out.append((begin, k))
-            begin = k + 1
-        k += 1
-    if begin < len(body):
-        out.append((begin, len(body)))
+    k = len(text) - len(text.lstrip())
+    k += body[k : k + 1] == "|"
     cells = []
-    for a, b in out:
-        raw = body[a:b]
-        cells.append((raw.strip().replace("\\|", "|"), a + len(raw) - len(raw.lstrip())))
+    if "\\" not in body:
+        for raw in (body[k:-1] if body[k:].endswith("|") else body[k:]).split("|") if k < len(body) else ():
+            cells.append((raw.strip(), k + len(raw) - len(raw.lstrip())))
+            k += len(raw) + 1
+        return cells
+    while k < len(body):
+        end = _BAR.match(body, k).end()
+        raw = body[k:end]
+        cells.append((raw.strip().replace("\\|", "|"), k + len(raw) - len(raw.lstrip())))
+        k = end + 1
     return cells
 
 

@@ -9,32 +9,35 @@ from typing import Any
 import yaml
 
 
-class CoreLoader(yaml.SafeLoader):
+_Base = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
+class CoreLoader(_Base):
     """Resolves null, booleans, integers and floats as the core schema does; all else is text."""
 
 
 CoreLoader.yaml_implicit_resolvers = {}
-for _tag, _pattern, _first in (
+_SCALARS = (
     ("null", r"^(?:null|Null|NULL|~|)$", ["n", "N", "~", ""]),
     ("bool", r"^(?:true|True|TRUE|false|False|FALSE)$", list("tTfF")),
     ("int", r"^(?:[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+)$", list("-+0123456789")),
     ("float", r"^(?:[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))$", list("-+.0123456789")),
-):
+)
+for _tag, _pattern, _first in _SCALARS:
     CoreLoader.add_implicit_resolver(f"tag:yaml.org,2002:{_tag}", re.compile(_pattern), _first)
 
 
-def _int(loader: yaml.Loader, node: yaml.ScalarNode) -> int:
-    text = node.value
+def _integer(text: str) -> int:
     return int(text[2:], 8) if text.startswith("0o") else int(text[2:], 16) if text.startswith("0x") else int(text)
 
 
-def _float(loader: yaml.Loader, node: yaml.ScalarNode) -> float:
-    text = node.value.lower()
+def _real(text: str) -> float:
+    text = text.lower()
     return -math.inf if text == "-.inf" else math.inf if text.endswith(".inf") else math.nan if text == ".nan" else float(text)
 
 
-CoreLoader.add_constructor("tag:yaml.org,2002:int", _int)
-CoreLoader.add_constructor("tag:yaml.org,2002:float", _float)
+CoreLoader.add_constructor("tag:yaml.org,2002:int", lambda loader, node: _integer(node.value))
+CoreLoader.add_constructor("tag:yaml.org,2002:float", lambda loader, node: _real(node.value))
 CoreLoader.add_constructor("tag:yaml.org,2002:bool", lambda loader, node: node.value.lower() == "true")
 
 
@@ -53,11 +56,42 @@ def load(text: str) -> Any:
     return _text_keys(yaml.load(text, CoreLoader))  # noqa: S506
 
 
+#: Frontmatter of plain ``key: value`` lines, which needs no YAML parser.
+_SIMPLE = re.compile(r"(?:[A-Za-z_][A-Za-z0-9_-]*:(?: +[A-Za-z0-9_./][A-Za-z0-9_ ./+()-]*)?\r?\n)*\Z")
+_PLAIN = [(tag, re.compile(pattern)) for tag, pattern, _ in _SCALARS]
+
+
+def _simple(text: str) -> tuple[dict, dict[tuple, int]] | None:
+    data: dict[str, Any] = {}
+    lines: dict[tuple, int] = {}
+    for n, line in enumerate(text.splitlines(), 1):
+        key, _, value = line.partition(":")
+        value = value.strip()
+        if key in data:
+            return None
+        tag = next((t for t, p in _PLAIN if p.match(value)), None)
+        if tag == "null":
+            data[key] = None
+        elif tag == "bool":
+            data[key] = value.lower() == "true"
+        elif tag == "int":
+            data[key] = _integer(value)
+        elif tag == "float":
+            data[key] = _real(value)
+        else:
+            data[key] = value
+        lines[(key,)] = n
+    return data, lines
+
+
 def load_positioned(text: str) -> tuple[Any, dict[tuple, int]]:
     """The value, and the line, from 1, of each key and element by its path.  Text that is not YAML has no value."""
+    if text and _SIMPLE.match(text) and (out := _simple(text)) is not None:
+        return out
     try:
-        value = load(text)
-        node = yaml.compose(text, CoreLoader)
+        loader = CoreLoader(text)
+        node = loader.get_single_node()
+        value = _text_keys(loader.construct_document(node)) if node is not None else None
     except (yaml.YAMLError, ValueError, TypeError):
         return None, {}
     lines: dict[tuple, int] = {}
