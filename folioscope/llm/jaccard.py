@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, written
 from .components import Forest, components
 from .wordhash import U64, chunks, mix, split, windows
 
@@ -150,32 +150,56 @@ class Index:
                 yield c
 
 
+class Block:
+    """One block's sets and the forest of the links found so far."""
+
+    def __init__(self, percent: int, first: bool):
+        self.percent, self.first, self.ids, self.sets, self.forest, self.index = percent, first, [], [], Forest(), None
+        self.links: list[tuple[int, int]] = []
+
+    def close(self) -> None:
+        """All sets are there; in the block's first part they ask each other."""
+        if self.index is None and self.sets:
+            self.index = Index(self.ids, self.sets)
+            if self.first:
+                for doc, own in zip(self.ids, self.sets, strict=True):
+                    self.ask(doc, own)
+
+    def ask(self, doc: int, own: np.ndarray) -> None:
+        self.close()
+        if self.index is not None:
+            forest, ids = self.forest, self.ids
+            for c in self.index.search(own, self.percent, lambda c: forest.root(ids[c]) == forest.root(doc)):
+                if forest.join(doc, ids[c]):
+                    self.links.append((doc, ids[c]))
+
+
 def _blocks(percent: int):
-    """For each (block, part): the block's sets come first, then the askers; gives a forest of links."""
+    """For each (block, part) the block's sets come first, then the askers; gives a forest of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, index, ids, sets, forest = None, None, [], [], Forest()
+        key, block = None, Block(percent, False)
         for batch in batches:
-            a, b = [], []
-            keys = zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("asks").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
+            keys = zip(*(batch.column(c).to_pylist() for c in ("block", "part", "asks", "doc_id")), strict=True)
             values, offsets = batch.column("own").values.to_numpy().view(U64), batch.column("own").offsets.to_numpy()
-            for row, (block, part, asks, doc) in enumerate(keys):
+            for row, (name, part, asks, doc) in enumerate(keys):
                 own = values[offsets[row] : offsets[row + 1]]
-                if (block, part) != key:
-                    key, index, ids, sets, forest = (block, part), None, [], [], Forest()
-                if not asks:
-                    ids.append(doc)
-                    sets.append(own.copy())
-                    continue
-                if not sets:
-                    continue
-                index = index or Index(ids, sets)
-                apart = lambda c, doc=doc: forest.root(ids[c]) == forest.root(doc)
-                for c in index.search(own, percent, apart):
-                    if forest.join(doc, ids[c]):
-                        a.append(doc)
-                        b.append(ids[c])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                if (name, part) != key:
+                    block.close()
+                    yield pack(block.links)
+                    key, block = (name, part), Block(percent, part == 0)
+                if asks:
+                    block.ask(doc, own)
+                else:
+                    block.ids.append(doc)
+                    block.sets.append(own.copy())
+            yield pack(block.links)
+            block.links = []
+        block.close()
+        yield pack(block.links)
+
+    def pack(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
     return run
 
@@ -190,38 +214,34 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     lone = (docs.select("text").mapInArrow(_least(width, percent), "t long, s1 long").groupBy("t").agg(F.min("s1").alias("s1"), F.max("s1").alias("_m"))
             .where("s1 = _m").groupBy("s1").agg(F.count("*").alias("lone")))
     left = cut(reps.where("n > 0").withColumn("d", d).join(lone, "s1", "left").where(F.least(F.col("n"), 2 * F.col("d") + 1) - F.coalesce("lone", F.lit(0)) >= least).select("doc_id", "n", "d"))
-    texts = docs.join(small(left.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full_sets = cut(texts.mapInArrow(_full(width), "doc_id long, own array<long>"))
-    tokens = full_sets.join(left, "doc_id").select("doc_id", "n", "d", F.explode(F.expr("slice(own, 1, cast(2 * d + 1 as int))")).alias("t"))
-    shared = tokens.groupBy("t").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).where("c > 1")
-    tokens = cut(tokens.join(shared, "t"))
+    texts = docs.join(small(left.select("doc_id")), "doc_id", "left_semi")
+    full_sets = written(texts.mapInArrow(_full(width), "doc_id long, own array<long>"))
+    tokens = full_sets.join(small(left.select("doc_id", "d")), "doc_id").select("doc_id", F.explode(F.expr("slice(own, 1, cast(2 * d + 1 as int))")).alias("t"))
+    shared = tokens.groupBy("t").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).where("c > 1").drop("c")
+    tokens = written(tokens.join(shared, "t"))
     # sets that have the same pivot for most of their shingles lie together; large groups are cut by a hash
-    home = (tokens.groupBy("doc_id", "n", "d", "pivot").agg(F.count("*").alias("k"))
-            .groupBy("doc_id", "n", "d").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("m"), F.sum("k").alias("held"))
-            .where(F.col("held") >= least)
-            .select("doc_id", "n", "d", (-F.col("m.p")).alias("pivot")))
+    home = (tokens.groupBy("doc_id", "pivot").agg(F.count("*").alias("k"))
+            .groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("m"), F.sum("k").alias("held"))
+            .join(left.withColumn("least", least), "doc_id").where("held >= least").select("doc_id", "least", (-F.col("m.p")).alias("pivot")))
     home = cut(home)
     crowd = home.groupBy("pivot").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
     total = max(1, home.count())
-    home = cut(home.join(crowd, "pivot", "left").select("doc_id", "n", "d", F.when(F.col("size").isNull(), F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("pivot"), F.lit(-(-total // BLOCK)))))
+    home = cut(home.join(crowd, "pivot", "left").select("doc_id", "least", F.when(F.col("size").isNull(), F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("pivot"), F.lit(-(-total // BLOCK)))))
                .otherwise(F.xxhash64("pivot", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))).alias("block")))
     where = tokens.select("doc_id", "t").join(home, "doc_id")
-    posting = where.groupBy("t", "block").agg(F.count("*").alias("c"))
-    spread = posting.groupBy("t").agg(F.count("*").alias("blocks"))
-    wide = spread.where(F.col("blocks") > SPREAD).select("t", F.lit(1).alias("wide"))
-    asked = cut(where.join(wide, "t", "left").select("doc_id", "n", "d", "t", F.coalesce("wide", F.lit(0)).alias("wide")))
-    load = asked.groupBy("doc_id").agg(F.sum("wide").alias("l"))
-    asked = asked.join(load, "doc_id")
-    quick = asked.where((F.col("l") < least)).where("wide = 0").withColumn("k", least - F.col("l"))
-    full = asked.where((F.col("l") >= least)).withColumn("k", least)
-    ask = (quick.unionByName(full).join(posting.select("t", "block"), "t").groupBy("doc_id", "block").agg(F.count("*").alias("c"), F.min("k").alias("k"))
-           .where("c >= k").select("doc_id", "block"))
-    ask = cut(ask)
+    posting = where.groupBy("t", "block").agg(F.count("*").alias("c")).select("t", "block")
+    wide = posting.groupBy("t").agg(F.count("*").alias("blocks")).where(F.col("blocks") > SPREAD).select("t", F.lit(1).alias("wide"))
+    asked = where.join(wide, "t", "left").select("doc_id", "least", "block", "t", F.coalesce("wide", F.lit(0)).alias("wide"))
+    asked = written(asked.join(asked.groupBy("doc_id").agg(F.sum("wide").alias("l")), "doc_id"))
+    # shingles of many blocks are left out, and as many fewer must be met; a set that has too many of them asks by all.
+    # Of two blocks the lesser one's sets ask the greater one; a block's own sets ask it without being sent again.
+    asks = asked.where("l < least AND wide = 0").withColumn("k", F.col("least") - F.col("l")).unionByName(asked.where("l >= least").withColumn("k", F.col("least")))
+    others = posting.select("t", F.col("block").alias("other"))
+    ask = cut(asks.join(others, "t").where("block < other").groupBy("doc_id", "other").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c >= k").select("doc_id", F.col("other").alias("block")))
     crowd = ask.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    parts = F.expr("explode(sequence(0L, parts - 1))").alias("part")
-    rows = home.join(crowd, "block").select("doc_id", "block", parts, F.lit(False).alias("asks")).unionByName(
+    rows = home.join(crowd, "block", "left").select("doc_id", "block", F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1)")).alias("part"), F.lit(False).alias("asks")).unionByName(
         ask.join(crowd, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).alias("part"), F.lit(True).alias("asks")))
-    return (rows.join(full_sets, "doc_id").repartition("block", "part").sortWithinPartitions("block", "part", "asks")
+    return (full_sets.join(small(rows), "doc_id").repartition("block", "part").sortWithinPartitions("block", "part", "asks")
             .select("block", "part", "asks", "doc_id", "own").mapInArrow(_blocks(percent), "a long, b long"))
 
 

@@ -128,7 +128,8 @@ def windows(hashed: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
     factor = U64((seed * 0xD1342543DE82EF95 | 1) & (2**64 - 1))
     for k in range(length):
         out *= factor
-        out[: len(hashed) - k] += hashed[k:]
+        if k < len(hashed):
+            out[: len(hashed) - k] += hashed[k:]
     return mix(out)
 
 
