@@ -42,19 +42,20 @@ def letters(texts: pa.Array):
 
 def _latin_lower(texts: pa.Array) -> pa.Array:
     texts = texts.fill_null("") if texts.null_count else texts
-    valid, offsets, raw = texts.buffers()
+    _, offsets, raw = texts.buffers()
     if raw is None:
         return texts
-    data = np.frombuffer(raw, np.uint8).copy()
+    ends = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4)
+    data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]].copy()  # of the slice only
     second = np.flatnonzero(data[:-1] == 0xC3) + 1
     value = data[second]
     data[second[(value >= 0x80) & (value <= 0x9E) & (value != 0x97)]] += 0x20
-    return pa.Array.from_buffers(texts.type, len(texts), [None, offsets, pa.py_buffer(data)], 0, texts.offset)
+    return pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(data)])
 
 
 def _sum_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, values.shape[1]))
-    np.cumsum(values, axis=0, out=total[1:])
+    np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
 
 
@@ -123,7 +124,7 @@ class LanguageModel:
         pred, score = np.full(len(texts), -1), np.zeros(len(texts))
         if not self.languages:
             return pred, score
-        for i, j in chunks(texts, 4 << 20):
+        for i, j in chunks(texts):
             part = texts.slice(i, j - i)
             w = letters(part)
             if not len(w.hash):
@@ -169,7 +170,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
             langs = batch.column("lang")
             for lang in langs.unique().to_pylist():
                 texts = batch.column("text").filter(pc.equal(langs, lang))
-                for i, j in chunks(texts, 4 << 20):
+                for i, j in chunks(texts):
                     w = letters(texts.slice(i, j - i))
                     _, where, n = np.unique(w.hash, return_index=True, return_counts=True)
                     raw = w.data.tobytes()
