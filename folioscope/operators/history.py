@@ -92,6 +92,24 @@ def record_run(findings: DataFrame, run_id: str, vault_id: str, trigger: str, st
     return run, records
 
 
+def live_state(events: DataFrame, by: str = "vault_id", order: str = "id") -> DataFrame:
+    """What a dashboard shows of each vault, from its events (kind: running, validated, checked or error; clean: boolean).
+
+    The state follows the last event; a check without drift shows the last validation's state.  The last results stay.
+    """
+    last = lambda kind, value: F.max_by(value, F.when(F.col("kind") == kind, F.col(order)))
+    out = events.groupBy(by).agg(F.max_by("kind", order).alias("_k"), last("validated", F.col("clean")).alias("validated_clean"), last("checked", F.col("clean")).alias("checked_clean"))
+    validated = F.when(F.col("validated_clean"), "green").otherwise("findings")
+    state = (F.when(F.col("_k") == "running", "running").when(F.col("_k") == "error", "error").when(F.col("_k") == "validated", validated)
+             .when(~F.col("checked_clean"), "drift").when(F.col("validated_clean").isNull(), "green").otherwise(validated))
+    return out.select(by, state.alias("state"), "validated_clean", "checked_clean")
+
+
+def with_live_state(vaults: DataFrame, live: DataFrame, key: str = "vault_id") -> DataFrame:
+    """Registered vaults with their live state; those that have not run yet count as running."""
+    return vaults.join(live, key, "left").withColumn("state", F.coalesce("state", F.lit("running")))
+
+
 def replay(events: DataFrame, after: int, buffer: int = 200) -> DataFrame:
     """Events after an id, of the last ``buffer`` only."""
     return events.orderBy(F.desc("id")).limit(buffer).where(F.col("id") > after).orderBy("id")

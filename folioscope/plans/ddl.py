@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import runpy
 from pathlib import Path
 from typing import Any
 
@@ -277,7 +278,36 @@ def compile_schema(x: Any, path: str) -> g.Schema:
 
 
 #: Configuration files that are looked for, in this order.
-CONFIG_NAMES = ["markdown-contract.yaml", "markdown-contract.yml"]
+CONFIG_NAMES = ["markdown-contract.config.py", "markdown-contract.config.yaml", "markdown-contract.config.yml", "markdown-contract.yaml", "markdown-contract.yml"]
+
+
+def find_config(folder: str) -> g.CorpusConfig | None:
+    """The first configuration that lies in a folder; a Python one defines ``config``."""
+    for name in CONFIG_NAMES:
+        path = Path(folder) / name
+        if path.exists():
+            return load_config_file(str(path))
+    return None
+
+
+def load_config_file(path: str) -> g.CorpusConfig:
+    if path.endswith(".py"):
+        config = runpy.run_path(path).get("config")
+        if not isinstance(config, g.CorpusConfig):
+            raise DeclarativeError(f"{path}: it defines no config")
+        return config
+    return load_config(Path(path).read_text(encoding="utf-8"), str(Path(path).parent))
+
+
+def inline_config(contracts: list[str], paths: list[str] | None = None) -> g.CorpusConfig:
+    """One contract for every Markdown file, or contract files paired with the globs that they hold for."""
+    if not paths:
+        if len(contracts) != 1:
+            raise DeclarativeError("several contracts need a path each")
+        paths = ["**/*.md"]
+    if len(paths) != len(contracts):
+        raise DeclarativeError("as many paths as contracts are expected")
+    return g.CorpusConfig(tuple(g.Route((p,), load_contract_file(c), (), Path(c).name) for c, p in zip(contracts, paths, strict=True)))
 
 
 def load_config(text: str, folder: str = ".") -> g.CorpusConfig:
@@ -297,7 +327,10 @@ def load_config(text: str, folder: str = ".") -> g.CorpusConfig:
             c = named[c] if c in named else load_contract_file(str(Path(folder) / c))
         else:
             c = compile_contract(_map(c, f"{path}.contract"))
-        routes.append(g.Route(_globs(r, "include", path), c, _globs(r, "exclude", path), _is(r, "name", str, path, "a text")))
+        if not _globs(r, "include", path):
+            raise DeclarativeError(f"{path}.include: globs are expected")
+        own = r["contract"] if isinstance(r.get("contract"), str) else None  # a contract's name is its rule's
+        routes.append(g.Route(_globs(r, "include", path), c, _globs(r, "exclude", path), _is(r, "name", str, path, "a text", own)))
     return g.CorpusConfig(tuple(routes), _globs(x, "include", "config"), _globs(x, "exclude", "config"))
 
 
