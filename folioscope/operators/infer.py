@@ -109,7 +109,7 @@ def infer(files: DataFrame, depth: int | None = None, relax: bool = False) -> di
     """A contract, as plain data, for each group of (path, source): by folder at ``depth``, or one for all ("")."""
     group = F.lit("") if depth is None else F.coalesce(ancestor_at(F.col("path"), depth), F.when(depth_of(F.col("path")) == 0, F.lit("")))
     docs = files.where(F.col("path").endswith(".md")).withColumn("grp", group).where("grp IS NOT NULL").withColumnRenamed("path", "doc_id")
-    p = project(docs.select("doc_id", "source")).persist()
+    p = project(docs.select("doc_id", "source"), tables=("sections", "frontmatter_kv")).persist()
     try:
         groups = docs.select("doc_id", "grp")
         sections = open_table(p, "sections").join(groups, "doc_id")

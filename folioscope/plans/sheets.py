@@ -9,10 +9,16 @@ LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"
 
 
 def orders_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order with its lines in a fixed order: one aggregation of lineitem, one join on the order's key."""
+    """Each order with its lines in a fixed order: one aggregation of lineitem, one join on the order's key.
+
+    The number of partitions is given, so that adaptive execution does not put the rows, which are small before they are
+    rendered and parsed, into a few tasks.
+    """
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))).alias("lines"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    orders = orders.repartition(n, "o_orderkey")
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").drop("l_orderkey").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
 
 

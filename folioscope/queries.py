@@ -160,15 +160,15 @@ def text_plane(spark, d):
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber::VARCHAR AS line, l_partkey::VARCHAR AS part, l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL")
 def table_round_trip(spark, d):
-    p = project(sheets(spark, d)).select("doc_id", "blocks", "cells")
-    rows = p.select("doc_id", F.inline("cells")).groupBy("doc_id", "block_id", "row_idx").pivot("col_name", ["line", "part", "flag", "status"]).agg(F.first("value"))
+    p = project(sheets(spark, d), tables=("cells",))
+    rows = open_table(p, "cells").groupBy("doc_id", "block_id", "row_idx").pivot("col_name", ["line", "part", "flag", "status"]).agg(F.first("value"))
     return rows.groupBy("doc_id", "line", "part", "flag", "status").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT o_orderkey AS doc_id, x.* FROM orders, (VALUES ('Summary', 2, 1), ('Lines', 2, 2), ('Checklist', 2, 3)) x(name, depth, section_id)
 UNION ALL SELECT o_orderkey, 'Shipped', 2, 4 FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus <> 'F')""")
 def section_rows(spark, d):
-    return open_table(project(sheets(spark, d)), "sections").where("section_id > 0").select("doc_id", "name", "depth", "section_id")
+    return open_table(project(sheets(spark, d), tables=("sections",)), "sections").where("section_id > 0").select("doc_id", "name", "depth", "section_id")
 
 
 @query("""WITH n AS (SELECT o_orderkey, count(l_orderkey) AS n, coalesce(bool_and(l_linestatus = 'F'), true) AS f FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
@@ -177,7 +177,7 @@ UNION ALL SELECT o_orderkey, 'Checklist', 19 + n, CASE WHEN f THEN 21 + n ELSE 2
 def section_spans(spark, d):
     docs = sheets(spark, d)
     lines = docs.select("doc_id", F.size(F.split("source", "\n")).alias("lines"))
-    out = navigate.section_spans(open_table(project(docs), "sections"), lines)
+    out = navigate.section_spans(open_table(project(docs, tables=("sections",)), "sections"), lines)
     return out.select("doc_id", "name", "first_line", "last_line")
 
 
@@ -186,26 +186,26 @@ def section_of_line(spark, d):
     docs = orders_with_lines(spark, d).where(F.size("lines") > 0).select(F.col("o_orderkey").alias("doc_id"))
     lines = docs.select("doc_id", F.explode(F.array(F.lit(10), F.lit(17))).alias("line"))
     src = sheets(spark, d).join(docs, "doc_id", "left_semi")
-    return navigate.section_for_line(open_table(project(src), "sections"), lines).select("doc_id", "name", "line")
+    return navigate.section_for_line(open_table(project(src, tables=("sections",)), "sections"), lines).select("doc_id", "name", "line")
 
 
 @query("SELECT o_orderkey AS doc_id, 'shipped' AS anchor FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus <> 'F')")
 def dead_anchors(spark, d):
-    p = project(sheets(spark, d))
+    p = project(sheets(spark, d), tables=("sections", "blocks", "refs"))
     found = navigate.anchors(open_table(p, "sections"), open_table(p, "blocks"))
     return navigate.dead_references(open_table(p, "refs"), found).select("doc_id", "anchor")
 
 
 @query("SELECT o_orderkey AS doc_id, k AS key, t AS json_type, v AS value, l AS line FROM orders, LATERAL (VALUES ('order', 'number', o_orderkey::VARCHAR, 2), ('status', 'string', '\"' || o_orderstatus || '\"', 3), ('priority', 'string', '\"' || o_orderpriority || '\"', 4)) x(k, t, v, l)")
 def frontmatter_rows(spark, d):
-    kv = open_table(project(sheets(spark, d)), "frontmatter_kv")
+    kv = open_table(project(sheets(spark, d), tables=("frontmatter_kv",)), "frontmatter_kv")
     return kv.select("doc_id", c.json_path(F.col("path")).alias("key"), "json_type", "value", "line")
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n'), lambda x: trim(x) <> ''))::BIGINT AS lines, 1::BIGINT AS paragraphs FROM documents WHERE text NOT LIKE '%|%' AND text NOT LIKE '%*%' AND text NOT LIKE '%#%' AND text NOT LIKE '%`%'")
 def paragraph_projection(spark, d):
     plain = table(spark, d, "documents").where(~F.col("text").rlike(r"[|*#`]")).select("doc_id", F.col("text").alias("source"))
-    blocks = open_table(project(plain), "blocks").where("kind = 'paragraph'")
+    blocks = open_table(project(plain, tables=("blocks",)), "blocks").where("kind = 'paragraph'")
     return blocks.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))).alias("lines"), F.count("*").alias("paragraphs"))
 
 
@@ -429,7 +429,7 @@ def inferred_fields(spark, d):
     docs = orders_with_lines(spark, d)
     from folioscope.plans.sheets import sheet
 
-    p = project(docs.select(F.col("o_orderkey").alias("doc_id"), sheet().alias("source")))
+    p = project(docs.select(F.col("o_orderkey").alias("doc_id"), sheet().alias("source")), tables=("frontmatter_kv",))
     groups = docs.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("grp"))
     facts = infer.field_facts(open_table(p, "frontmatter_kv").join(groups, "doc_id"), groups, "grp")
     return facts.select("grp", "key", "files", "present", "distinct_values", "all_integer")
@@ -441,7 +441,7 @@ def inferred_sections(spark, d):
     docs = orders_with_lines(spark, d)
     from folioscope.plans.sheets import sheet
 
-    p = project(docs.select(F.col("o_orderkey").alias("doc_id"), sheet().alias("source")))
+    p = project(docs.select(F.col("o_orderkey").alias("doc_id"), sheet().alias("source")), tables=("sections",))
     groups = docs.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("grp"))
     return infer.section_facts(open_table(p, "sections").join(groups, "doc_id"), "grp").select("grp", "name", "present", "repeats")
 

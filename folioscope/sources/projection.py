@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
@@ -70,20 +71,26 @@ def rows_of(doc: Document) -> dict[str, list[tuple]]:
     return out
 
 
-def project(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """key, title, has_frontmatter, frontmatter (JSON) and the arrays of every document; null sources are empty documents."""
-    kind = docs.schema[key].dataType
-    schema = f"`{key}` {kind.simpleString()}, title string, has_frontmatter boolean, frontmatter string, " + ", ".join(f"{k} array<struct<{_nested(v)}>>" for k, v in ARRAYS.items())
-    types = {k: to_arrow_type(_parse_datatype_string(f"array<struct<{_nested(v)}>>")) for k, v in ARRAYS.items()}
-    names = {k: [c.split()[0] for c in _columns(v)] for k, v in ARRAYS.items()}
+def project(docs: DataFrame, key: str = "doc_id", source: str = "source", tables: tuple[str, ...] = tuple(ARRAYS)) -> DataFrame:
+    """key, title, has_frontmatter, frontmatter (JSON) and the arrays of the tables asked for; null sources are empty documents."""
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, title string, has_frontmatter boolean, frontmatter string, " + ", ".join(f"{k} array<struct<{_nested(ARRAYS[k])}>>" for k in tables)
+    types = {k: to_arrow_type(_parse_datatype_string(f"array<struct<{_nested(ARRAYS[k])}>>")).value_type for k in tables}
+
+    def column(name: str, rows: list[list[tuple]]) -> pa.Array:
+        kind = types[name]
+        flat = [r for x in rows for r in x]
+        fields = list(zip(*flat, strict=True)) if flat else [()] * kind.num_fields
+        inner = pa.StructArray.from_arrays([pa.array(v, kind.field(k).type) for k, v in enumerate(fields)], fields=[kind.field(k) for k in range(kind.num_fields)])
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = [parse(x or "") for x in batch.column(1).to_pylist()]
-            tables = [rows_of(d) for d in docs]
-            arrays = [pa.array([[dict(zip(names[k], row, strict=True)) for row in t[k]] for t in tables], types[k]) for k in ARRAYS]
+            rows = [rows_of(d) for d in docs]
             front = [json.dumps(d.frontmatter, ensure_ascii=False, default=str) if d.has_frontmatter else None for d in docs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d.title for d in docs], pa.string()), pa.array([d.has_frontmatter for d in docs]), pa.array(front, pa.string()), *arrays], [key, "title", "has_frontmatter", "frontmatter", *ARRAYS])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([d.title for d in docs], pa.string()), pa.array([d.has_frontmatter for d in docs], pa.bool_()), pa.array(front, pa.string()), *(column(k, [r[k] for r in rows]) for k in tables)],
+                [key, "title", "has_frontmatter", "frontmatter", *tables])
 
     return docs.select(key, source).mapInArrow(run, schema)
 
