@@ -29,10 +29,10 @@ from .components import Forest, components
 from .wordhash import U64, chunks, mix, split, windows
 
 #: Sets in a block, and askers that meet a block in one group, about.
-BLOCK = 512
+BLOCK = 2048
 #: A list is long if it holds more than this share of a block's sets.
 LONG_SHARE = 0.1
-#: Blocks that one shingle is looked up in before a set has asked by its rarer ones.
+#: Units that one shingle is looked up in before a set has asked by its rarer ones.
 SPREAD = 64
 
 
@@ -224,23 +224,32 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
             .groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("m"), F.sum("k").alias("held"))
             .join(left.withColumn("least", least), "doc_id").where("held >= least").select("doc_id", "least", (-F.col("m.p")).alias("pivot")))
     home = cut(home)
+    # a unit is a large group, which has several blocks, or a hash of small ones, which has one
     crowd = home.groupBy("pivot").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    total = max(1, home.count())
-    home = cut(home.join(crowd, "pivot", "left").select("doc_id", "least", F.when(F.col("size").isNull(), F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("pivot"), F.lit(-(-total // BLOCK)))))
-               .otherwise(F.xxhash64("pivot", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))).alias("block")))
-    where = tokens.select("doc_id", "t").join(home, "doc_id")
-    posting = where.groupBy("t", "block").agg(F.count("*").alias("c")).select("t", "block")
-    wide = posting.groupBy("t").agg(F.count("*").alias("blocks")).where(F.col("blocks") > SPREAD).select("t", F.lit(1).alias("wide"))
-    asked = where.join(wide, "t", "left").select("doc_id", "least", "block", "t", F.coalesce("wide", F.lit(0)).alias("wide"))
+    small_units = -(-max(1, home.count()) // BLOCK)
+    home = home.join(crowd, "pivot", "left").select(
+        "doc_id", "least", F.when(F.col("size").isNull(), F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("pivot"), F.lit(small_units)))).otherwise(F.xxhash64("pivot")).alias("unit"),
+        F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("long").alias("blocks"))
+    home = cut(home.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    units = home.groupBy("unit").agg(F.max("blocks").alias("blocks"))
+    where = tokens.select("doc_id", "t").join(home.select("doc_id", "least", "unit"), "doc_id")
+    posting = where.groupBy("t", "unit").agg(F.count("*").alias("c")).select("t", "unit")
+    wide = posting.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > SPREAD).select("t", F.lit(1).alias("wide"))
+    asked = where.join(wide, "t", "left").select("doc_id", "least", "unit", "t", F.coalesce("wide", F.lit(0)).alias("wide"))
     asked = written(asked.join(asked.groupBy("doc_id").agg(F.sum("wide").alias("l")), "doc_id"))
-    # shingles of many blocks are left out, and as many fewer must be met; a set that has too many of them asks by all.
-    # Of two blocks the lesser one's sets ask the greater one; a block's own sets ask it without being sent again.
+    # shingles of many units are left out, and as many fewer must be met; a set that has too many of them asks by all.
+    # Of two units, or two blocks of one, the lesser one's sets ask the greater one; a block's own sets are there already.
     asks = asked.where("l < least AND wide = 0").withColumn("k", F.col("least") - F.col("l")).unionByName(asked.where("l >= least").withColumn("k", F.col("least")))
-    others = posting.select("t", F.col("block").alias("other"))
-    ask = cut(asks.join(others, "t").where("block < other").groupBy("doc_id", "other").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c >= k").select("doc_id", F.col("other").alias("block")))
-    crowd = ask.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    rows = home.join(crowd, "block", "left").select("doc_id", "block", F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1)")).alias("part"), F.lit(False).alias("asks")).unionByName(
-        ask.join(crowd, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).alias("part"), F.lit(True).alias("asks")))
+    others = posting.select("t", F.col("unit").alias("other"))
+    far = asks.join(others, "t").where("unit < other").groupBy("doc_id", "other").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c >= k").select("doc_id", F.col("other").alias("unit"))
+    far = far.join(units, "unit").select("doc_id", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    near = home.where("block < blocks - 1").select("doc_id", "unit", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
+    ask = cut(far.unionByName(near))
+    place = ["unit", "block"]
+    crowd = ask.groupBy(place).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    rows = home.join(crowd, place, "left").select("doc_id", *place, F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1)")).alias("part"), F.lit(False).alias("asks")).unionByName(
+        ask.join(crowd, place).select("doc_id", *place, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).alias("part"), F.lit(True).alias("asks")))
+    rows = rows.select("doc_id", F.xxhash64(*place).alias("block"), "part", "asks")
     return (full_sets.join(small(rows), "doc_id").repartition("block", "part").sortWithinPartitions("block", "part", "asks")
             .select("block", "part", "asks", "doc_id", "own").mapInArrow(_blocks(percent), "a long, b long"))
 
