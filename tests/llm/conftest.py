@@ -6,7 +6,7 @@ import pytest
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {k: k + 32 for k in range(65, 91)}
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, root string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, first string, h string"
 
 
 def corpus(seed=3, n=60):
