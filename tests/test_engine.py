@@ -146,6 +146,22 @@ def test_streams(spark, tmp_path):
     assert runs == [(3, 3)]
 
 
+def test_status_edges_and_bursts_of_streams(spark, tmp_path):
+    runs = [("1", "v", "2024-01-01T00:00", "green"), ("2", "v", "2024-01-01T00:01", "findings"), ("3", "v", "2024-01-01T00:02", "running"), ("4", "v", "2024-01-01T00:03", "green"), ("5", "w", "2024-01-01T00:00", "error")]
+    schema = "id string, vault_id string, started_at string, status string"
+    spark.createDataFrame(runs, schema).coalesce(1).write.parquet(str(tmp_path / "runs"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "runs"))
+    q1 = watch.edges(stream).writeStream.format("memory").queryName("edges").outputMode("append").trigger(availableNow=True).start()
+    q1.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("edges").collect())) == [("v", "2", "green", "findings"), ("v", "4", "findings", "green"), ("w", "5", "green", "error")]
+    events = stream.select("vault_id", F.to_timestamp("started_at").alias("ts"))
+    q2 = watch.debounced(events, quiet="90 seconds", late="0 seconds").writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start()
+    q2.awaitTermination(120)
+    assert spark.table("bursts").count() <= 2
+    batch = history.debounce(spark.createDataFrame(runs, schema).select("vault_id", F.to_timestamp("started_at").alias("ts")), "90 seconds", "vault_id")
+    assert sorted((r.vault_id, r.events) for r in batch.collect()) == [("v", 4), ("w", 1)]
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
