@@ -277,8 +277,8 @@ def compile_schema(x: Any, path: str) -> g.Schema:
     return g.Schema(**o)
 
 
-#: Configuration files that are looked for, in this order.
-CONFIG_NAMES = ["markdown-contract.config.py", "markdown-contract.config.yaml", "markdown-contract.config.yml", "markdown-contract.yaml", "markdown-contract.yml"]
+#: Configuration files that are looked for, in this order.
+CONFIG_NAMES = ["folioscope.config.py", "folioscope.config.yaml", "folioscope.config.yml", "folioscope.yaml", "folioscope.yml"]
 
 
 def find_config(folder: str) -> g.CorpusConfig | None:

@@ -26,7 +26,7 @@ def test_validate(spark, vault):
     code, text = cli.run(["validate", str(vault), "--contract", str(vault / "c.yaml")], spark)
     assert code == 1 and "a/y.md:4 error structure/section-missing" in text and "Scanned 3 files; 2 matched across 1 contract, 1 unmatched" in text
     assert cli.run(["validate", str(vault), "--contract", str(vault / "c.yaml"), "--exclude", "**/y.md", "--format", "json"], spark) == (0, "[]")
-    (vault / "markdown-contract.yaml").write_text("mcVersion: 2\nkind: config\nrules: [{include: ['**/x.md'], contract: c.yaml}]")
+    (vault / "folioscope.yaml").write_text("mcVersion: 2\nkind: config\nrules: [{include: ['**/x.md'], contract: c.yaml}]")
     assert cli.run(["validate", str(vault)], spark)[0] == 0
 
 
@@ -38,7 +38,7 @@ def test_usage_errors(spark, vault):
 
 
 def test_init_writes_once_checks_and_finds_drift(spark, vault):
-    out = vault / "markdown-contract.yaml"
+    out = vault / "folioscope.yaml"
     args = ["init", str(vault), "--out", str(out)]
     assert cli.run([*args, "--dry-run"], spark)[0] == 0 and not out.exists()
     assert cli.run(args, spark)[0] == 0 and cli.run(args, spark)[0] == 2 and cli.run([*args, "--force"], spark)[0] == 0
@@ -48,7 +48,7 @@ def test_init_writes_once_checks_and_finds_drift(spark, vault):
 
 
 def test_python_configurations(tmp_path):
-    (tmp_path / "markdown-contract.config.py").write_text("from folioscope.plans.grammar import *\nconfig = CorpusConfig((Route(('*.md',), contract(), (), 'all'),))\n")
+    (tmp_path / "folioscope.config.py").write_text("from folioscope.plans.grammar import *\nconfig = CorpusConfig((Route(('*.md',), contract(), (), 'all'),))\n")
     assert ddl.find_config(str(tmp_path)).routes[0].name == "all" and ddl.find_config("/nowhere") is None
 
 
