@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,30 @@ def external_findings(spark: SparkSession, path: str) -> DataFrame:
 
     raw = spark.read.schema("id string, level string, path string, message string, hint string, pos struct<line:int,col:int>").option("multiLine", "true").json(path)
     return raw.select(F.col("path"), "id", "level", F.col("pos.line").alias("line"), F.col("pos.col").alias("col"), "message", "hint", F.lit(0).alias("emitted")).selectExpr(*[c.split()[0] for c in FINDINGS])
+
+
+def resolve_inside(root: str, path: str) -> str:
+    """The place of ``path`` below ``root``; ValueError if it leads out of it."""
+    base = os.path.realpath(root)
+    full = os.path.realpath(os.path.join(base, path))
+    if full != base and not full.startswith(base + os.sep):
+        raise ValueError(f"{path} leads out of {root}")
+    return full
+
+
+def save_table(df: DataFrame, path: str) -> None:
+    """Replace a small table: it is written beside its place and moved there, so readers meet the old rows or the new."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    fs.rename(new, old)
+
+
+def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small table, or an empty one if it is not there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

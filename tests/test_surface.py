@@ -78,3 +78,26 @@ def test_entities(spark):
     assert [r.id for r in page(a, 1, 1).collect()] == [2]
     assert sorted(map(tuple, merge_first(a, patch.fillna("q"), key="id").select("id", "name").collect())) == [(1, "x"), (2, "y"), (3, "z")]
     assert set(history.tables(spark)) == {"scan_runs", "finding_records", "vaults"}
+
+
+def test_small_tables_are_replaced_and_paths_stay_inside(spark, tmp_path):
+    from folioscope import api
+
+    path = str(tmp_path / "vaults")
+    assert api.load_table(spark, path, "id int, name string").count() == 0
+    for rows in ([(1, "a")], [(1, "b"), (2, "c")]):
+        api.save_table(spark.createDataFrame(rows, "id int, name string"), path)
+        assert sorted(map(tuple, api.load_table(spark, path, "id int, name string").collect())) == rows
+    assert api.resolve_inside(str(tmp_path), "a/../b.md").endswith("/b.md")
+    with pytest.raises(ValueError):
+        api.resolve_inside(str(tmp_path), "../x")
+
+
+def test_presets_and_builders():
+    from folioscope import api
+
+    body = api.strict_body(api.section("A"), api.optional_section("B"), api.gap(max=1))
+    assert (body.order, body.allow_unknown, body.slots[1].optional) == ("strict", False, True)
+    c = api.contract(body=api.lenient_body(api.one_of(["X", "Y"], content=api.table(["a"], cells={"a": api.Schema(enum=("1",))}))), text=[api.requires("done")])
+    assert [f.id.split("/")[0] for f in api.validate_text("## Y\n\n| a |\n|---|\n| 2 |\n", c)] == ["text", "content"]
+    assert api.match_text("so so", api.forbids("so")) == [(1, 1), (1, 4)]
