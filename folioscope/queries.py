@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from folioscope.functions import columns as c
 from folioscope.operators import findings as fnd
-from folioscope.operators import history, infer, navigate
+from folioscope.operators import history, infer, navigate, relational
 from folioscope.operators.validate import read, route, validate
 from folioscope.plans import ddl
 from folioscope.plans.grammar import CorpusConfig, Contract, Route, TextSpec
@@ -446,3 +446,64 @@ def inferred_sections(spark, d):
     return infer.section_facts(open_table(p, "sections").join(groups, "doc_id"), "grp").select("grp", "name", "present", "repeats")
 
 
+
+
+# ---- planes over tables, views and order ---------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_returnflag AS f, ascii(l_returnflag) AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS k FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+m AS (SELECT *, max(v) OVER (PARTITION BY l_orderkey ORDER BY k ROWS UNBOUNDED PRECEDING) AS top FROM r)
+SELECT l_orderkey AS doc_id, 'structure/section-order' AS id, (4 * k - 1)::INT AS line FROM m WHERE v < top
+UNION ALL SELECT o_orderkey, 'structure/section-missing', (CASE WHEN EXISTS (SELECT 1 FROM r WHERE l_orderkey = o_orderkey) THEN 3 END)::INT FROM orders WHERE NOT EXISTS (SELECT 1 FROM r WHERE l_orderkey = o_orderkey AND f = 'N')""")
+def structure_over_tables(spark, d):
+    """The structure plane as windows and aggregates over the section table."""
+    level = contract("body: {order: recognized-relative, sections: [{section: A, minContains: 0}, {section: N, minContains: 1}, {section: R, minContains: 0}]}").body
+    docs = flag_sheets(spark, d)
+    found = relational.structure(docs, open_table(project(docs, tables=("sections",)), "sections"), level)
+    return found.select("doc_id", "id", "line")
+
+
+@query("SELECT l_orderkey AS doc_id, 'content/table/cell' AS id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey")
+def content_over_tables(spark, d):
+    """The content plane as joins and filters over the block and cell tables."""
+    p = project(sheets(spark, d), tables=("sections", "blocks", "cells", "items")).persist()
+    t = {k: open_table(p, k) for k in ("sections", "blocks", "cells", "items")}
+    return by_document(relational.content(t["sections"], t["blocks"], t["cells"], t["items"], contract(CELLS).body.slots[0]))
+
+
+@query("SELECT o_orderkey AS doc_id, 'Summary' AS name, 'Order of customer ' || o_custkey || ' with ' || count(l_orderkey) || ' lines.' AS text FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey")
+def prose_of_sections(spark, d):
+    p = project(sheets(spark, d), tables=("sections", "blocks"))
+    return navigate.text_view(open_table(p, "sections").where("name = 'Summary'"), open_table(p, "blocks")).select("doc_id", "name", "text")
+
+
+@query("SELECT o_orderkey AS doc_id, 'table' AS kind, 14 AS line, ['line', 'part', 'flag', 'status'] AS columns FROM orders")
+def blocks_by_anchor(spark, d):
+    return navigate.by_anchor(open_table(project(sheets(spark, d), tables=("blocks",)), "blocks"), "lines").select("doc_id", "kind", "line", "columns")
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS grp, o_orderkey, coalesce(bool_and(l_linestatus = 'F'), true) AS f FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT grp, count(DISTINCT f) AS sequences FROM s GROUP BY grp""")
+def heading_sequences(spark, d):
+    docs = orders_with_lines(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("grp"))
+    return infer.sequences(open_table(project(sheets(spark, d), tables=("sections",)), "sections"), docs)
+
+
+@query("""WITH s AS (SELECT DISTINCT o_orderpriority AS grp, coalesce(bool_and(l_linestatus = 'F') OVER (PARTITION BY o_orderkey), true) AS f FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT DISTINCT grp, a, b FROM s, (VALUES ('Summary', 'Lines', false), ('Summary', 'Checklist', false), ('Lines', 'Checklist', false), ('Summary', 'Shipped', true), ('Lines', 'Shipped', true), ('Checklist', 'Shipped', true)) x(a, b, shipped) WHERE f OR NOT shipped""")
+def heading_precedence(spark, d):
+    docs = orders_with_lines(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("grp"))
+    return infer.precedence(open_table(project(sheets(spark, d), tables=("sections",)), "sections").join(docs, "doc_id"))
+
+
+@query("""SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY k)::INT AS place, (15 + k)::INT AS line FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS k FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) WHERE l_returnflag = 'R'""")
+def findings_in_order(spark, d):
+    found = validate(sheets(spark, d), contract(CELLS))
+    w = W.partitionBy("doc_id").orderBy(F.coalesce("line", F.lit(0)), F.coalesce("col", F.lit(0)), c.plane_rank(F.col("id")), "emitted")
+    return found.select("doc_id", F.row_number().over(w).alias("place"), "line")
+
+
+@query("SELECT page_id, regexp_matches(lower(url), '\\.html$') AND NOT contains(url, '/en/') AS relevant FROM pages")
+def relevant_files(spark, d):
+    path = F.regexp_replace(F.regexp_replace("url", r"\.html$", ".md"), "/en/", "/.en/")
+    return table(spark, d, "pages").select("page_id", c.relevant_change(path).alias("relevant"))
