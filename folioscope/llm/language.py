@@ -164,6 +164,8 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
     count = rows.count()
     if count > max_train:
         rows = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int(max_train / count * (1 << 30)))
+    # copies count once, so that a text of a third of the rows neither fills the sample nor weighs in it
+    rows = rows.dropDuplicates(["lang", "text"])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
