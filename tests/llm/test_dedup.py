@@ -113,6 +113,30 @@ def test_lines(spark, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_clusters_of_long_and_short_keys():
+    r = np.random.default_rng(3)
+    key = np.sort(np.concatenate([np.full(90, 5), np.full(70, 8), r.integers(100, 140, 60), np.arange(1000, 1030)]))
+    s = r.integers(0, 2**62, len(key))
+    for x in r.integers(0, len(key), 60):
+        s[x] = s[r.integers(0, len(key))] ^ (1 << int(r.integers(0, 60)))
+    s[key == 8] = r.integers(0, 2**62, 70)  # a long key without near lines
+    ids = np.arange(len(key)) + 7
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, s, np.zeros(len(key), np.int64))], ["key", "id", "s", "choice"])
+    want = set()
+    for k in set(key.tolist()):
+        at = np.flatnonzero(key == k).tolist()
+        forest = lines.Forest()
+        for x in at:
+            for y in at:
+                if x < y and int(s[x] ^ s[y]).bit_count() <= 3:
+                    forest.join(int(ids[x]), int(ids[y]))
+        want |= {(k, forest.root(x), x) for x in set(forest.up) | {forest.root(x) for x in forest.up}}
+    for cut in (len(key), 64, 1):
+        batches = [batch.slice(a, cut) for a in range(0, len(key), cut)]
+        assert {(q["key"], q["cluster"], q["id"]) for b in lines._clusters(3)(iter(batches)) for q in b.to_pylist()} == want
+    assert want
+
+
 def test_line_stage_keeps_clean_documents(spark):
     rows = spark.createDataFrame([(1, "a b\nc", 5), (2, "a b", 3), (3, "a b\nnew", 7), (4, None, 0), (5, "", 0)], "doc_id long, text string, n_chars long")
     assert sorted(map(tuple, lines.stage(rows).collect())) == [(1, "a b\nc", 5), (3, "new", 3), (4, None, 0), (5, "", 0)]
