@@ -142,7 +142,7 @@ def test_line_stage_keeps_clean_documents(spark):
     assert sorted(map(tuple, lines.stage(rows).collect())) == [(1, "a b\nc", 5), (3, "new", 3), (4, None, 0), (5, "", 0)]
 
 
-@given(st.text(alphabet="ab", max_size=9), st.text(alphabet="ab", max_size=9))
+@given(st.text(alphabet="ab ", max_size=12), st.text(alphabet="ab ", max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_edit_distance(a, b):
     row = list(range(len(b) + 1))
@@ -152,6 +152,8 @@ def test_edit_distance(a, b):
             now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
         row = now
     assert lines.edit_distance(a, b) == row[-1]
+    for similarity in (0.5, 0.8):
+        assert lines.alike(a, b, similarity) == (max(len(a), len(b)) - row[-1] >= similarity * max(len(a), len(b)) - 1e-9)
 
 
 def groups(rows, width, percent):
