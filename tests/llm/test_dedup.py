@@ -113,6 +113,54 @@ def test_lines(spark, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def edited_lines():
+    """Lines of 2 to 60 words, each in variants by a word replaced, appended or left out, or by one character."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghijklmnoprstué") for _ in range(r.randint(2, 8))) for _ in range(600)]
+    out = []
+    for n in [2, 3, 4, 5, 5, 6, 7, 8, 10, 12, 13, 15, 20, 25, 30, 40, 60] * 6:
+        base = [r.choice(vocabulary) for _ in range(n)]
+        out.append(" ".join(base))
+        for kind in range(4):
+            w = list(base)
+            k = r.randrange(n)
+            if kind == 3:
+                w[k] = w[k][:1] + "x" + w[k][2:]
+            else:
+                w[k : k + (kind != 1)] = [[r.choice(vocabulary)], [w[k], r.choice(vocabulary)], []][kind]
+            out.append(" ".join(w))
+    return sorted({x for x in out if x}, key=lambda x: r.random())
+
+
+def test_lines_link_by_edit_similarity_alone(spark, empty):
+    texts = edited_lines()
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if lines.alike(texts[a], texts[b], 0.8):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    want = {k for k in range(len(texts)) if root(k) != k}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in lines.dedup(docs, grams=True).collect() if r._n_removed}
+    assert got <= want and len(got) >= 0.99 * len(want) > 200
+    assert lines.dedup(empty, grams=True).count() == 0
+
+
+def test_long_runs_of_one_key_join_without_their_pairs():
+    n = 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n + 40, 9), np.arange(n + 40), np.zeros(n + 40, np.int64))], ["key", "id", "s"])
+    found = [b for b in lines._sets(0)(iter([batch.slice(0, n), batch.slice(n - 5, 45)]))]  # five come twice
+    assert sorted(x for b in found for x in b["id"].to_pylist()) == list(range(n + 40))
+    assert len({x for b in found for x in b["cluster"].to_pylist()}) == 1
+
+
 def test_clusters_of_long_and_short_keys():
     r = np.random.default_rng(3)
     key = np.sort(np.concatenate([np.full(90, 5), np.full(70, 8), r.integers(100, 140, 60), np.arange(1000, 1030)]))
