@@ -238,6 +238,15 @@ def test_bands_reject_what_tokenises_badly(spark):
     assert got[1] == ("latin", False, True) and got[2][1:] == (True, False) and got[3] == ("other", False, False)
 
 
+def test_long_clean_text_is_held_to_no_more_entropy_than_a_shorter_one(spark):
+    r = random.Random(4)
+    known = sorted({w for x in WORDS.values() for w in x.split()})
+    said = known + [a + b for a in known[::5] for b in known[1::17]]
+    rows = [(k, " ".join(r.choice(said) for _ in range(n))) for k, n in enumerate((20_000, 600))]
+    got = quality.measure(spark.createDataFrame(rows, "doc_id long, text string"), pieces.Vocabulary.load(pieces.MODEL)).collect()
+    assert [x.kept for x in got] == [True, True]
+
+
 # ---- language ------------------------------------------------------------------------------------------------
 
 WORDS = {"en": "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were", "fr": "le de un à être et en avoir que pour dans ce il qui ne sur se pas plus par je avec tout faire son mettre autre on mais nous", "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach"}
