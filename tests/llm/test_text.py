@@ -247,6 +247,17 @@ def test_long_clean_text_is_held_to_no_more_entropy_than_a_shorter_one(spark):
     assert [x.kept for x in got] == [True, True]
 
 
+def test_latin_junk_beyond_the_base_rules_is_rejected_and_long_clean_text_is_not(spark):
+    r = random.Random(4)
+    known = sorted({w for x in WORDS.values() for w in x.split()})
+    junk, said = r.sample(known, 22), known + [a + b for a in known[::5] for b in known[1::17]]
+    text = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(1, text(junk, 600), "en"), (2, text(said, 20_000), "de"), (3, text(said, 600), "de"), (4, text(said, 600), None), (5, text(junk, 600), None)]
+    got = {x.doc_id: x for x in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), pieces.Vocabulary.load(pieces.MODEL)).collect()}
+    assert not any(x.base_failed for x in got.values()) and {x.script for x in got.values()} == {"latin"}
+    assert {k: x.kept for k, x in got.items()} == {1: False, 2: True, 3: True, 4: True, 5: False}
+
+
 # ---- language ------------------------------------------------------------------------------------------------
 
 WORDS = {"en": "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were", "fr": "le de un à être et en avoir que pour dans ce il qui ne sur se pas plus par je avec tout faire son mettre autre on mais nous", "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach"}
