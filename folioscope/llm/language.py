@@ -4,8 +4,9 @@ A known word scores by its log frequency in each language.  An unseen word score
 of its positions the longest n-gram that the model knows counts, from five characters down to one.  A text takes
 the language with the largest sum; the score is that language's share of exp(sum).
 
-The model is fitted on a sample of about ``max_train`` labelled rows (all, if there are no more), chosen by a hash
-of the text; so its size is bounded, and it is sent to the executors.  Null texts and texts without a letter are
+The model is fitted on a sample of ``max_train`` distinct labelled texts (all, if there are no more), chosen by a hash of the
+text: of each language the same number at most, so that languages with fewer texts give them all and none is left out
+(one text of each, if there are more languages than ``max_train``); so its size is bounded, and it is sent to the executors.  Null texts and texts without a letter are
 ``und`` with score 0; rows without a label are not learned from; equal sums take the language that sorts first; with
 nothing to learn from, every text is ``und``; repeated rows and other columns change nothing.
 """
@@ -20,11 +21,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .wordhash import U64, chunks, split, windows
 
-#: Labelled rows that the model is fitted on, about.
-MAX_TRAIN = 2000
+#: Distinct labelled texts that the model is fitted on, at most.
+MAX_TRAIN = 6000
 ORDERS = (5, 4, 3, 2, 1)
 #: Words seen fewer times are left to the n-grams.
 MIN_COUNT = 2
@@ -158,14 +160,35 @@ def _ascii_letter(w) -> np.ndarray:
     return count[w.first[1:]] > count[w.first[:-1]]
 
 
-def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
-    """From text and lang of a sample of about ``max_train`` rows."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    count = rows.count()
-    if count > max_train:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int(max_train / count * (1 << 30)))
+def quota(sizes: list[int], total: int) -> int:
+    """The most that each language may give so that all give ``total`` together at most; one at least."""
+    left, ordered = total, sorted(sizes)
+    for k, n in enumerate(ordered):
+        if n * (len(ordered) - k) > left:
+            return max(1, left // (len(ordered) - k))
+        left -= n
+    return max([1, *ordered])
+
+
+def sample(labelled: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """text and lang of at most ``max_train`` distinct labelled texts, of each language up to the same number."""
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", F.lit(7)).alias("_h"))
     # copies count once, so that a text of a third of the rows neither fills the sample nor weighs in it
-    rows = rows.dropDuplicates(["lang", "text"])
+    sizes = rows.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
+    most = quota([r["n"] for r in sizes], max_train)
+    # somewhat more than the quota by a threshold, so that no language is ranked as a whole; what is over goes by rank
+    spare = most + 4 * int(most**0.5) + 16
+    kept = [(r["lang"], 1 << 30 if r["n"] <= spare else int(spare / r["n"] * (1 << 30)) + 1) for r in sizes]
+    limits = rows.sparkSession.createDataFrame(kept, "_l string, _limit long")
+    draw = F.pmod("_h", F.lit(1 << 30))
+    drawn = rows.join(F.broadcast(limits), rows.lang.cast("string") == F.col("_l")).where(draw < F.col("_limit")).select("text", "lang", "_h").dropDuplicates(["lang", "text"])
+    first = W.partitionBy("lang").orderBy(draw, "_h", "text")
+    return drawn.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most).select("text", "lang")
+
+
+def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
+    """From text and lang of a sample of ``max_train`` distinct texts at most."""
+    rows = sample(labelled, max_train)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

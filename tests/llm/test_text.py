@@ -293,6 +293,17 @@ def test_language_without_labels_and_sampled(spark):
     assert len(model.word) <= len(language.fit(docs).word)
 
 
+def test_every_labelled_language_is_learned(spark):
+    assert language.MAX_TRAIN == 6000
+    rows = [(k, f"the people of house {k} and the town", "en") for k in range(4000)] + [(9000 + k, "one text that stands again and again", "en") for k in range(4000)] + [(8000 + k, f"le village numéro {k} est dans la forêt", "fr") for k in range(3)] + [(8100, "der alte Turm steht nicht im Wald", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = Counter(r.lang for r in language.sample(docs, 60).collect())
+    assert taken == {"en": 56, "fr": 3, "de": 1}
+    got = language.identify(spark.createDataFrame([(1, "est dans le village"), (2, "der Turm steht im Wald"), (3, "the people")], "doc_id long, text string"), language.fit(docs, 60))
+    assert [r.lang_pred for r in got.orderBy("doc_id").collect()] == ["fr", "de", "en"]
+    assert [language.quota(*x) for x in (([10, 1, 5], 9), ([3, 4], 60), ([], 5), ([9, 9, 9], 2))] == [4, 4, 1, 1]
+
+
 # ---- pipeline and queries ------------------------------------------------------------------------------------
 
 
