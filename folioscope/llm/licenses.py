@@ -26,16 +26,38 @@ from .wordhash import chunks, split, windows
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Public notices, with their optional and replaceable regions.  Each opens with two mandatory words or more.
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<var;name=name;words=1-3>>), to deal in the "
+        "<<var;name=name;words=1-3>> without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "<<var;name=name;words=1-3>>, and to permit persons to whom the <<var;name=name;words=1-3>> is furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the <<var;name=name;words=1-3>>. THE <<var;name=name;words=1-3>> IS PROVIDED "
+        "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL <<var;name=holder;words=1-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "<<var;name=name;words=1-3>> OR THE USE OR OTHER DEALINGS IN THE <<var;name=name;words=1-3>>")
+_BULLET = "<<beginOptional>><<var;name=bullet;words=1-1>><<endOptional>> "
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        f"{_BULLET}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        f"{_BULLET}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution. ")
+_BSD_NAMES = f"{_BULLET}Neither the name of <<var;name=holder;words=1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = ("THIS SOFTWARE IS PROVIDED BY <<var;name=holder;words=1-12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS "
+            "FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name=holder;words=1-12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+            "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+            "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE")
+
+#: Public notices and whole wordings (labels ending in -notice: a license's opening alone), with their optional and replaceable
+#: regions.  Each opens with two mandatory words or more.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the \"License\"); you may not use this file except in compliance with the License. "
                   "You may obtain a copy of the License at <<var;name=url;words=1-8>> <<endOptional>>",
     "mit": "Released under the MIT <<beginOptional>>open source<<endOptional>> License",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<var;name=name;words=1-3>>), to deal in the "
+    "mit-grant-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<var;name=name;words=1-3>>), to deal in the "
                  "<<var;name=name;words=1-3>> without restriction",
+    "mit-text": _MIT,
+    "bsd-2-clause": _BSD + _BSD_END,
+    "bsd-3-clause": _BSD + _BSD_NAMES + _BSD_END,
     "gpl-3.0": "licensed under the GNU General Public License<<beginOptional>>,<<endOptional>> version 3 <<beginOptional>>or <<beginOptional>>at your option<<endOptional>> any later version<<endOptional>>",
     "lgpl": "under the <<beginOptional>>terms of the<<endOptional>> GNU Lesser General Public License <<beginOptional>>version <<var;name=version;words=1-2>><<endOptional>>",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0",
     "cc-by-nc-4.0": "Licensed under <<beginOptional>>the <<endOptional>><<beginOptional>>Creative Commons <<endOptional>>CC BY-NC 4.0 <<beginOptional>>International<<endOptional>>",
     "cc-by-sa": "Licensed under <<beginOptional>>the <<endOptional>>CC BY-SA <<var;name=version;words=2-2>>",

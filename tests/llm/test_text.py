@@ -102,6 +102,14 @@ def test_templates_accept_what_they_stand_for_and_nothing_else(label):
             assert machine.accept(w.encode() for w in [*words[:at], "wrong", *words[at + 1 :]]) is None or words.count(need[k]) > 1
 
 
+def test_whole_wordings_are_told_from_their_openings(spark):
+    fill = lambda x: re.sub(r"<<var[^>]*>>", "holder", re.sub(r"<<beginOptional>>.*?<<endOptional>>", "", x))
+    mit, two, three = (fill(licenses.TEMPLATES[k]) for k in ("mit-text", "bsd-2-clause", "bsd-3-clause"))
+    texts = [mit, two, three, mit.split("without restriction")[0] + "without restriction", mit.replace("AND NONINFRINGEMENT", "")]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["mit-grant-notice,mit-text", "bsd-2-clause,bsd-notice", "bsd-3-clause,bsd-notice", "mit-grant-notice", "mit-grant-notice"]
+
+
 def test_license_scan(spark, docs, rows, empty):
     extra = [(9001, "CC-by, cc BY! General Public License. All rights\nreserved", None, None, 0, "", ""), (9002, "Released under the MIT open source License", None, None, 0, "", ""), (9003, "Released under the MIT no License", None, None, 0, "", "")]
     out = {r.doc_id: r for r in licenses.scan(docs.unionByName(spark.createDataFrame(extra, docs.schema))).collect()}
