@@ -168,6 +168,18 @@ def test_token_rollups(spark, docs, rows, empty, tmp_path):
         rollup.commit("a/b", counted)
 
 
+def test_rollup_query_revises(spark, sf_dir):
+    rollup = counts.replayed(spark, sf_dir)
+    assert rollup.committed() == ["0-insert", "1-revise", "2-delete"]
+    batch = spark.read.parquet(f"{rollup.folder}/ledger/1-revise")
+    signs = Counter(r.n_docs for r in batch.collect())
+    assert signs[1] == signs[-1] > 0
+    docs, toxic = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id")
+    plain = counts.count_tokens(docs.join(toxic, "doc_id", "left_anti"), "byte_bpe_50k").groupBy("source", "lang").agg({"n_tokens": "sum", "n_chars": "sum", "*": "count"})
+    want = {(r.source, r.lang): (r["count(1)"], r["sum(n_tokens)"], r["sum(n_chars)"]) for r in plain.collect()}
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens, r.n_chars) for r in rollup.totals().collect()} == want
+
+
 # ---- SentencePiece -------------------------------------------------------------------------------------------
 
 
