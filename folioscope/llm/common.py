@@ -23,6 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+#: Bytes of a batch of rows that is sent to a Python worker, about.
+BATCH_BYTES = "1m"
+SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with batches for Python workers bounded by bytes, for texts may be long; a bound set before stays."""
+    if spark.conf.get(SETTING, None) is None:
+        spark.conf.set(SETTING, BATCH_BYTES)
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)

@@ -37,14 +37,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
-        size = 1 << (n - 1).bit_length()
-        out = np.full(size, _BASE | U64(1), U64)
-        out[0] = U64(1)
-        _POWERS = np.multiply.accumulate(out)
+        _POWERS = _accumulated(int(_BASE) | 1, n)
     return _POWERS
 
 
-_POWERS = np.ones(1, U64)
+def _inverses(n: int) -> np.ndarray:
+    """Inverses of the powers, modulo 2 ** 64."""
+    global _INVERSES
+    if len(_INVERSES) < n:
+        _INVERSES = _accumulated(pow(int(_BASE) | 1, -1, 1 << 64), n)
+    return _INVERSES
+
+
+def _accumulated(factor: int, n: int) -> np.ndarray:
+    out = np.full(1 << (n - 1).bit_length(), factor, U64)
+    out[0] = U64(1)
+    return np.multiply.accumulate(out)
+
+
+_POWERS = _INVERSES = np.ones(1, U64)
+
+
+def spans(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the values from ``start`` to ``end``: alike wherever the same values stand."""
+    total = np.zeros(len(value) + 1, U64)
+    np.cumsum(value * _powers(len(value))[: len(value)], out=total[1:])
+    return mix((total[end] - total[start]) * _inverses(len(value) + 1)[start])
 
 
 @dataclass
@@ -69,7 +87,7 @@ class Words:
         return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.start))
 
 
-def chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges with at most ``limit`` bytes of text, or one row that has more."""
     ends = _offsets(texts)
     i, n = 0, len(texts)
@@ -112,13 +130,7 @@ def split(texts: pa.Array, lower: bool = False, separator: np.ndarray = SPACE) -
     end = np.flatnonzero(opens & after) + 1
     if not len(start):
         return Words(data, base, start, end, np.zeros(0, U64), np.zeros(len(base), np.int64))
-    span = np.diff(np.append(start, len(data)))
-    place = np.arange(start[0], len(data)) - np.repeat(start, span)
-    longest = int((end - start).max())
-    value = _BYTES[data[start[0] :]]
-    value[gap[start[0] :]] = 0
-    value *= _powers(longest)[np.minimum(place, longest - 1)]
-    hashed = mix(np.add.reduceat(value, start - start[0]))
+    hashed = spans(_BYTES[data], start, end)
     return Words(data, base, start, end, hashed, np.searchsorted(start, base))
 
 

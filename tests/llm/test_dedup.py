@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioscope.llm import jaccard, lines, substrings, wordhash
-from folioscope.llm.components import components
+from folioscope.llm.components import Forest, components
 
 
 @given(st.lists(st.one_of(st.none(), st.text(alphabet=" \n\t\x0bab\u00e9\u4e2d.A", max_size=30)), max_size=8))
@@ -70,7 +70,6 @@ def near_lines(rows):
     occurrences = [(i, k, " ".join(ALNUM.findall(x.translate(LOWER)))) for i, t, *_ in sorted(rows, key=lambda x: x[0]) for k, x in enumerate((t or "").split("\n"))]
     occurrences = [o for o in occurrences if o[2]]
     texts = sorted({o[2] for o in occurrences})
-    sim = lines.Lines(pa.array(texts)).simhash()
     up = list(range(len(texts)))
 
     def root(x):
@@ -80,7 +79,7 @@ def near_lines(rows):
 
     for a in range(len(texts)):
         for b in range(a):
-            if int(sim[a] ^ sim[b]).bit_count() <= 3 and lines.alike(texts[a], texts[b], 0.8):
+            if lines.alike(texts[a], texts[b], 0.8):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     at, seen, gone, total = {t: k for k, t in enumerate(texts)}, set(), defaultdict(set), defaultdict(int)
@@ -148,41 +147,89 @@ def test_lines_link_by_edit_similarity_alone(spark, empty):
                 up[max(x, y)] = min(x, y)
     want = {k for k in range(len(texts)) if root(k) != k}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id for r in lines.dedup(docs, grams=True).collect() if r._n_removed}
+    got = {r.doc_id for r in lines.dedup(docs).collect() if r._n_removed}
     assert got <= want and len(got) >= 0.99 * len(want) > 200
-    assert lines.dedup(empty, grams=True).count() == 0
+    assert lines.dedup(empty).count() == 0
 
 
-def test_long_runs_of_one_key_join_without_their_pairs():
-    n = 3000
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n + 40, 9), np.arange(n + 40), np.zeros(n + 40, np.int64))], ["key", "id", "s"])
-    found = [b for b in lines._sets(0)(iter([batch.slice(0, n), batch.slice(n - 5, 45)]))]  # five come twice
-    assert sorted(x for b in found for x in b["id"].to_pylist()) == list(range(n + 40))
-    assert len({x for b in found for x in b["cluster"].to_pylist()}) == 1
+def test_places_are_those_of_the_parsed_lines():
+    r = random.Random(1)
+    for _ in range(400):
+        texts = pa.array([r.choice([None, "", "".join(r.choice("a .\n\n\u00e9") for _ in range(r.randint(0, 12)))]) for _ in range(r.randint(1, 5))], pa.string())
+        x = lines.Lines(texts)
+        assert [v.tolist() for v in lines.places(texts)] == [x.doc.tolist(), x.place.tolist()]
+
+
+def met(batches):
+    return [(b["cluster"][k].as_py(), b["id"][k].as_py()) for b in lines._met(iter(batches)) for k in range(len(b))]
 
 
-def test_clusters_of_long_and_short_keys():
+def key_rows(key, ids, s):
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, s, np.zeros(len(key), bool))], ["key", "id", "s", "met"])
+
+
+def test_lines_of_a_key_meet_by_their_simhash():
     r = np.random.default_rng(3)
     key = np.sort(np.concatenate([np.full(90, 5), np.full(70, 8), r.integers(100, 140, 60), np.arange(1000, 1030)]))
     s = r.integers(0, 2**62, len(key))
     for x in r.integers(0, len(key), 60):
         s[x] = s[r.integers(0, len(key))] ^ (1 << int(r.integers(0, 60)))
-    s[key == 8] = r.integers(0, 2**62, 70)  # a long key without near lines
     ids = np.arange(len(key)) + 7
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, s, np.zeros(len(key), np.int64))], ["key", "id", "s", "choice"])
     want = set()
     for k in set(key.tolist()):
-        at = np.flatnonzero(key == k).tolist()
-        forest = lines.Forest()
+        at, forest = np.flatnonzero(key == k).tolist(), Forest()
         for x in at:
             for y in at:
-                if x < y and int(s[x] ^ s[y]).bit_count() <= 3:
+                if x < y and int(s[x] ^ s[y]).bit_count() <= lines.BITS:
                     forest.join(int(ids[x]), int(ids[y]))
-        want |= {(k, forest.root(x), x) for x in set(forest.up) | {forest.root(x) for x in forest.up}}
+        members = defaultdict(set)
+        for x in set(forest.up) | {forest.root(x) for x in forest.up}:
+            members[forest.root(x)].add(x)
+        want |= {frozenset(m) for m in members.values()}
+    batch = key_rows(key, ids, s)
     for cut in (len(key), 64, 1):
-        batches = [batch.slice(a, cut) for a in range(0, len(key), cut)]
-        assert {(q["key"], q["cluster"], q["id"]) for b in lines._clusters(3)(iter(batches)) for q in b.to_pylist()} == want
-    assert want
+        got = defaultdict(set)
+        for cluster, i in met([batch.slice(a, cut) for a in range(0, len(key), cut)]):
+            got[cluster].add(i)
+        assert {frozenset(m) for m in got.values()} == want and want
+
+
+def test_a_crowd_is_stood_for_by_few():
+    r = np.random.default_rng(4)
+    n = 3000
+    base = r.integers(0, 2**62, 3)
+    s = base[np.arange(n) % 3] ^ (1 << r.integers(0, 60, n)) ^ (1 << r.integers(0, 60, n))
+    ids, key = np.arange(n) + 5, np.full(n, 9)
+    names, members, stands = lines.gather(key, ids, s.astype(np.uint64), lines.CROWD)
+    of = defaultdict(set)
+    for name, i in zip(names.tolist(), members.tolist(), strict=True):
+        of[name].add(i % 3)
+    assert set(members.tolist()) == set(ids.tolist()) and stands.sum() == 3 and all(len(x) == 1 for x in of.values())
+    assert lines.gather(key[:200], ids[:200], s[:200].astype(np.uint64), lines.CROWD)[2].all()
+    # a run cut by batches, some rows twice
+    batch = key_rows(key, ids, s)
+    assert {i for _, i in met([batch.slice(0, 2000), batch.slice(1990, 1010)])} == set(ids.tolist())
+
+
+def test_large_clusters_are_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    r = random.Random(5)
+    base = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)).split(" ")
+    rows = []
+    for k in range(100):
+        words = list(base)
+        words[k % 40] = f"own{k}"
+        rows.append((k, " ".join(words)))
+    got = {x.doc_id for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x._n_removed}
+    assert got == set(range(1, 100))
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    rows = [(1, "one line of words\nshared by two"), (1, "another text\nof the same id\nshared by two"), (None, "null first\nshared by two"), (None, "null too\nshared by two"), (2, "shared by two"), (2, "shared by two"), (3, None), (4, ""), (5, "." * 9)]
+    out = sorted(((r.doc_id, r.text, r._n_lines, r._n_removed) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert [x for x in out if x[0] in (2, 3, 4, 5)] == [(2, "", 1, 1), (2, "", 1, 1), (3, None, 0, 0), (4, "", 0, 0), (5, "." * 9, 0, 0)]
+    assert sorted(x[1] for x in out if x[0] == 1) == ["another text\nof the same id", "one line of words"]
+    assert sorted(x[3] for x in out if x[0] is None) == [0, 1]
 
 
 def test_line_stage_keeps_clean_documents(spark):
