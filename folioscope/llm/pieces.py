@@ -3,13 +3,17 @@
 A text is a space and the text, with spaces for the vocabulary's word mark, cut before each run of spaces and around line
 feeds: no piece crosses such a cut.  Of a chunk's parts the new distinct ones are concatenated and indexed by a suffix array;
 every piece is looked up by binary search for its range of occurrences, which gives the edges (place, length, piece).
-Sorted by place, the edges are relaxed: for a BPE model the best-scored edge over two neighbouring symbols joins them,
-leftmost first, in all parts at once, until none is left; for a unigram model each place takes its best path.
-Characters outside the vocabulary become byte pieces (or the unknown piece, if there are none).
+Sorted by place, the edges are relaxed from left to right, in all parts at once.
 
-The vocabulary is read on the driver, from a path that is a parameter, and broadcast: its size is fixed.  Null texts have
-null ids, empty ones none; decoding gives the text back exactly but for a word mark in it, which becomes a space; repeated
-rows and other columns change nothing.
+For a unigram model a place takes its best path.  For a BPE model it takes the one edge that the merges allow: a sequence of
+pieces is what merging by score gives if each two neighbours are, and two neighbours are if undoing their merges, latest first,
+never shows a pair over their boundary that would have merged before (of equal scores the left pair merges first).  So each place has one last piece, and is reached by one edge.
+Characters outside the vocabulary become byte pieces (or the unknown piece, if there are none; neighbouring ones are one).
+
+Parts of more than ``LONG`` characters are relaxed one by one, in windows of ``INDEXED`` bytes, so time and memory follow
+their length.  The vocabulary is read on the driver, from a path that is a parameter, and broadcast: its size is fixed.  Null texts
+have null ids, empty ones none; decoding gives the text back exactly but for a word mark in it, which becomes a space; repeated
+rows and other columns change nothing; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .wordhash import _BYTES, U64, _powers, chunks, mix
+from .common import bounded
+from .wordhash import _BYTES, U64, chunks, spans
 
 MARK = "▁"
-#: Distinct parts that a task remembers, and bytes that are indexed at a time.
-REMEMBERED, INDEXED = 400_000, 1 << 19
-CHUNK = 4 << 20
+#: Distinct parts that a task remembers, bytes that are indexed at a time, and characters of a part that is relaxed alone.
+REMEMBERED, INDEXED, LONG = 400_000, 1 << 18, 64
 
 
 @dataclass
@@ -41,6 +45,10 @@ class Vocabulary:
     byte: np.ndarray  # id of each byte's piece
     unknown: int
     unigram: bool = False
+    left: np.ndarray | None = None  # the pieces whose merge made a piece (-1: a character)
+    right: np.ndarray | None = None
+    rank: np.ndarray | None = None  # of the merge by its score, from the best; -1 for characters
+    late: np.ndarray | None = None  # the worst rank of all merges that made a piece: it is there when those have had their turn
 
     @staticmethod
     def load(path: str, unigram: bool = False) -> Vocabulary:
@@ -55,123 +63,195 @@ class Vocabulary:
             if m.is_byte(k):
                 byte[int(text[3:5], 16)] = k
                 pieces.append(bytes([int(text[3:5], 16)]))
-            elif m.is_control(k) or m.is_unknown(k):
+            elif m.is_control(k) or m.is_unknown(k) or m.is_unused(k):
                 pieces.append(b" \xe2\x81\x87 " if m.is_unknown(k) else b"")
             else:
                 normal.append(k)
                 pieces.append(text.replace(MARK, " ").encode())
-        return Vocabulary(pieces, np.array([m.get_score(k) for k in range(size)]), np.array(normal), byte, m.unk_id(), unigram)
+        return Vocabulary.of(pieces, np.array([m.get_score(k) for k in range(size)]), np.array(normal, np.int64), byte, m.unk_id(), unigram)
+
+    @staticmethod
+    def of(pieces: list[bytes], score: np.ndarray, normal: np.ndarray, byte: np.ndarray, unknown: int, unigram: bool = False) -> Vocabulary:
+        """Checked: no piece may cross a cut, and a BPE model's pieces are of characters that are pieces; those that merging never makes go."""
+        for k in normal.tolist():
+            p = pieces[k]
+            if not p or b" " in p.lstrip(b" ") or b"\n" in p and p != b"\n" or b"\0" in p:
+                raise ValueError(f"piece {k} ({p!r}) is empty or has a space or line feed within")
+        out = Vocabulary(pieces, score, normal, byte, unknown, unigram)
+        if not unigram:
+            out._undo()
+        return out
+
+    def _undo(self) -> None:
+        """The last merge of each piece."""
+        known = {self.pieces[k]: k for k in self.normal.tolist()}
+        self.left, self.right, self.rank = (np.full(len(self.pieces), -1, np.int64) for _ in range(3))
+        made = []
+        for k in self.normal.tolist():
+            now = [c.encode() for c in self.pieces[k].decode()]
+            if len(now) == 1:
+                continue
+            if any(c not in known for c in now):
+                raise ValueError(f"piece {k} ({self.pieces[k]!r}) has a character that is no piece")
+            while len(now) > 2:
+                best = max(((self.score[known[a + b]], -x) for x, (a, b) in enumerate(zip(now, now[1:], strict=False)) if a + b in known), default=None)
+                if best is None:
+                    break
+                now[-best[1] : 2 - best[1]] = [now[-best[1]] + now[1 - best[1]]]
+            if len(now) == 2:
+                self.left[k], self.right[k] = known[now[0]], known[now[1]]
+                made.append(k)
+        self.rank[made] = np.unique(-self.score[made], return_inverse=True)[1]
+        self.late = self.rank.copy()
+        for k in sorted(made, key=lambda k: len(self.pieces[k])):
+            self.late[k] = max(self.rank[k], self.late[self.left[k]], self.late[self.right[k]])
+        characters = [k for k in self.normal.tolist() if len(self.pieces[k].decode()) == 1]
+        self.normal = np.array(sorted([*made, *characters]), np.int64)
+
+
+class Table:
+    """Numbers by key, looked up for whole arrays: open addressing in a table that is an eighth full at most."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        bits = max(4, int(8 * len(key)).bit_length())
+        self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
+        self.key, self.value, self.most = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64), 0
+        left, at = np.arange(len(key)), self._slot(key)
+        while len(left):
+            self.most += 1
+            free = left[self.key[at] < 0]
+            slot = at[self.key[at] < 0]
+            self.key[slot] = key[free]  # of several that want a slot the last has it
+            self.value[slot] = value[free]
+            more = self.key[at] != key[left]
+            left, at = left[more], (at[more] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(U64) * U64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, key: np.ndarray, other: int) -> np.ndarray:
+        at = self._slot(key)
+        found = self.key[at]
+        out = np.where(found == key, self.value[at], other)
+        again = np.flatnonzero((found != key) & (found >= 0))
+        for _ in range(self.most - 1):
+            if not len(again):
+                break
+            at[again] = (at[again] + 1) & self.mask
+            found = self.key[at[again]]
+            hit = found == key[again]
+            out[again[hit]] = self.value[at[again[hit]]]
+            again = again[~hit & (found >= 0)]
+        return out
+
+
+class Pairs:
+    """Which pieces of a BPE model may stand one after another."""
+
+    def __init__(self, v: Vocabulary):
+        self.left, self.right, self.late = v.left, v.right, v.late
+        made = np.flatnonzero(v.left >= 0)
+        key = v.left[made] << 32 | v.right[made]
+        self.merged = Table(key, v.rank[made])
+        # until when a pair over the boundary can merge before the piece to its left or right is made; of equal ranks the left pair goes first
+        self.before_left, self.before_right = np.maximum(v.rank, np.where(v.left >= 0, v.late[v.left], -1)), np.maximum(v.rank, np.where(v.left >= 0, v.late[v.right], -1)) + 1
+        self.known = dict(zip(key.tolist(), v.rank[made].tolist(), strict=True))
+        self.lists = [x.tolist() for x in (v.left, v.right, v.late, self.before_left, self.before_right)]
+        self.met: dict[int, bool] = {}
+
+    def allow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of pieces (-1: a character outside of the vocabulary, which merges with nothing)."""
+        out = np.ones(len(a), bool)
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        a, b = a[at], b[at]
+        limit = np.full(len(at), 1 << 40)
+        while len(at):
+            # would the pair over the boundary have merged before what is undone?
+            bad = self.merged.get(a << 32 | b, 1 << 40) < limit
+            out[at[bad]] = False
+            ra, rb = self.late[a], self.late[b]
+            go = ~bad & ((ra >= 0) | (rb >= 0))
+            at, a, b, ra, rb = at[go], a[go], b[go], ra[go], rb[go]
+            first = ra > rb  # the later merge is undone; of equal ones the right one
+            limit = np.where(first, self.before_left[a], self.before_right[b])
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return out
+
+    def allows(self, a: int, b: int) -> bool:
+        if a < 0 or b < 0:
+            return True
+        asked = a << 32 | b
+        out = self.met.get(asked)
+        if out is None:
+            left, right, late, before_left, before_right = self.lists
+            limit, out = 1 << 40, True
+            while True:
+                if self.known.get(a << 32 | b, limit) < limit:
+                    out = False
+                    break
+                if late[a] < 0 and late[b] < 0:
+                    break
+                if late[a] > late[b]:
+                    limit, a = before_left[a], right[a]
+                else:
+                    limit, b = before_right[b], left[b]
+            if len(self.met) > REMEMBERED:
+                self.met.clear()
+            self.met[asked] = out
+        return out
+
+
+class Names:
+    """The pieces as keys of a binary search: their first eight bytes, and all bytes of those that have more."""
+
+    def __init__(self, v: Vocabulary):
+        names = [v.pieces[k] for k in v.normal.tolist()]
+        self.wide = max(map(len, names), default=1)
+        self.low, self.high = (np.array([int.from_bytes(p[:8].ljust(8, fill), "big") for p in names], U64) for fill in (b"\0", b"\xff"))
+        self.size, self.piece, self.names = np.array([len(p) for p in names], np.int64), v.normal, np.array(names, f"S{self.wide}")
 
 
 class Edges:
-    """Occurrences of every piece in a text: place, length and piece, sorted by place and length."""
-
-    def __init__(self, v: Vocabulary, text: bytes):
-        wide = max((len(v.pieces[k]) for k in v.normal), default=1)
-        padded = np.frombuffer(text + bytes(wide), np.uint8)
-        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, wide)[: len(text)]).view(f"S{wide}").ravel()
-        order = np.argsort(suffix, kind="stable")
-        suffix = suffix[order]
-        names = np.array([v.pieces[k] for k in v.normal], f"S{wide + 1}")
-        first = np.searchsorted(suffix, names.astype(f"S{wide}"), "left")
-        last = np.searchsorted(suffix.astype(f"S{wide + 1}"), np.char.add(names, b"\xff").astype(f"S{wide + 1}"), "left")
-        count = np.maximum(last - first, 0)
-        total = int(count.sum())
-        place = order[np.repeat(first - np.cumsum(count) + count, count) + np.arange(total)]
-        length = np.repeat(np.array([len(v.pieces[k]) for k in v.normal], np.int64), count)
-        key = place * 64 + length
-        by = np.argsort(key)
-        self.key, self.piece = key[by], np.repeat(v.normal, count)[by]
-
-    def find(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The piece that stands there, or -1."""
-        if not len(self.key):
-            return np.full(len(place), -1)
-        key = np.where(length < 64, place * 64 + length, -1)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.piece[at], -1)
-
-
-def _merge(v: Vocabulary, edges: Edges, start: np.ndarray, size: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joins symbols (start, size, part) by best score, leftmost first, in all parts at once."""
-
-    def scores(at: np.ndarray) -> np.ndarray:
-        piece = edges.find(start[at], size[at] + size[at + 1])
-        return np.where(piece >= 0, v.score[piece], -np.inf)
-
-    done: list[tuple[np.ndarray, ...]] = []
-    pair = np.full(len(start), -np.inf)
-    inner = np.flatnonzero(part[:-1] == part[1:])
-    pair[inner] = scores(inner)
-    while len(start):
-        first = np.flatnonzero(np.diff(part, prepend=-1) != 0)
-        best = np.maximum.reduceat(pair, first)
-        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(part))))
-        live = best > -np.inf
-        if not live.all():
-            over = ~live[run]
-            done.append((start[over], size[over], part[over]))
-            start, size, part, pair, run = start[~over], size[~over], part[~over], pair[~over], run[~over]
-            if not len(start):
-                break
-            first = np.flatnonzero(np.diff(part, prepend=-1) != 0)
-            best = best[live]
-            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(part))))
-        at = np.minimum.reduceat(np.where(pair == best[run], np.arange(len(pair)), len(pair)), first)
-        size[at] += size[at + 1]
-        keep = np.ones(len(start), bool)
-        keep[at + 1] = False
-        new = np.cumsum(keep) - 1
-        at = new[at]
-        start, size, part, pair = start[keep], size[keep], part[keep], pair[keep]
-        pair[at] = -np.inf
-        for near in (at[at > 0] - 1, at[at < len(part) - 1]):
-            near = near[part[near] == part[near + 1]]
-            pair[near] = scores(near)
-        # the last symbol of a part has no right neighbour
-    start, size, part = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (start, size, part)
-    by = np.argsort(start, kind="stable")
-    return start[by], size[by], part[by]
-
-
-def _viterbi(v: Vocabulary, edges: Edges, start: np.ndarray, size: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best path through each part; a character without a piece costs 10 more than the worst piece."""
-    alone = float(v.score[v.normal].min(initial=0.0)) - 10
-    place, length = edges.key >> 6, edges.key & 63
-    bounds = np.searchsorted(place, start), np.searchsorted(place, start, "right")
-    none = edges.find(start, size) < 0
-    rows = []
-    for a, b in zip(first := np.flatnonzero(np.diff(part, prepend=-1) != 0), np.append(first[1:], len(part)), strict=True):
-        best = {int(start[a]): (0.0, -1)}
-        for k in range(a, b):
-            p = int(start[k])
-            here = best[p][0]
-            steps = [(p + int(length[e]), v.score[edges.piece[e]]) for e in range(bounds[0][k], bounds[1][k])]
-            for to, gain in [*steps, *([(p + int(size[k]), alone)] if none[k] else [])]:
-                if to not in best or here + gain > best[to][0]:
-                    best[to] = here + gain, p
-        to = int(start[b - 1] + size[b - 1])
-        path = []
-        while (back := best[to][1]) >= 0:
-            path.append((back, to - back, part[a]))
-            to = back
-        rows += path[::-1]
-    out = np.array(rows, np.int64)
-    return out[:, 0], out[:, 1], out[:, 2]
+    """Occurrences of every piece in a text, in no order: place, length and piece."""
+
+    def __init__(self, names: Names, text: bytes):
+        padded = np.frombuffer(text + bytes(max(8, names.wide)), np.uint8)
+        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text)].view(">u8").ravel().astype(U64)
+        order = np.argsort(eight)
+        suffix = eight[order]
+        first = np.searchsorted(suffix, names.low, "left")
+        count = np.maximum(np.searchsorted(suffix, names.high, "right") - first, 0)
+        name = np.repeat(np.arange(len(count)), count)
+        place = order[np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(name))]
+        # the range of a longer piece is that of its first eight bytes; the others are compared
+        long = np.flatnonzero(names.size[name] > 8)
+        if len(long):
+            stands = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, names.wide)[place[long]])
+            stands[np.arange(names.wide) >= names.size[name[long]][:, None]] = 0
+            keep = np.ones(len(name), bool)
+            keep[long] = stands.view(f"S{names.wide}").ravel() == names.names[name[long]]
+            place, name = place[keep], name[keep]
+        self.place, self.length, self.piece = place, names.size[name], names.piece[name]
 
 
 class Encoder:
     """Encodes and decodes texts; remembers the parts that it has met."""
 
     def __init__(self, v: Vocabulary):
-        self.v = v
+        self.v, self.names = v, Names(v)
+        self.pairs = None if v.unigram else Pairs(v)
+        self.fallback = bool((v.byte >= 0).all())
+        #: what a character without a piece costs in a unigram model: 10 more than the worst piece
+        self.alone = float(v.score[v.normal].min(initial=0.0)) - 10
         self.forget()
         sizes = np.array([len(p) for p in v.pieces])
         self.size, self.at = sizes, np.concatenate([[0], np.cumsum(sizes)])
         self.bytes = np.frombuffer(b"".join(v.pieces), np.uint8)
 
     def forget(self) -> None:
-        self.known, self.first, self.ids = np.zeros(0, U64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        """Known parts by hash, with their ids' place and number in a store."""
+        self.known, self.where, self.count = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store = np.zeros(0, np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the range of each (null: none)."""
@@ -189,9 +269,8 @@ class Encoder:
         begins[1:] = ((data[1:] == 32) & (data[:-1] != 32)) | (data[1:] == 10) | (data[:-1] == 10)
         begins[ends[:-1][np.diff(ends) > 0]] = True
         start = np.flatnonzero(begins)
-        size = np.diff(np.append(start, len(data)))
-        value = _BYTES[data] * _powers(int(size.max()))[np.arange(len(data)) - np.repeat(start, size)]
-        hashed = mix(np.add.reduceat(value, start) + size.astype(U64))
+        stop = np.append(start[1:], len(data))
+        hashed = spans(_BYTES[data], start, stop) + (stop - start).astype(U64)
         unique, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), bool)
@@ -201,54 +280,145 @@ class Encoder:
             if len(self.known) > REMEMBERED:
                 self.forget()
                 new[:] = True
-            self.learn(unique[new], data, start[where[new]], size[where[new]])
+            self.learn(unique[new], data, start[where[new]], stop[where[new]])
         at = np.searchsorted(self.known, unique)[inverse]
-        count = (self.first[1:] - self.first[:-1])[at]
+        count = self.count[at]
         range_ = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.repeat(self.first[at] - range_[:-1], count) + np.arange(range_[-1])]
-        return ids, range_[np.searchsorted(start, ends)]
-
-    def learn(self, hashed: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Encode new parts (start, size) of data and remember them by hash."""
-        counts, ids, i = [], [], 0
-        ends = np.cumsum(size + 1)
-        while i < len(start):
+        ids = self.store[np.repeat(self.where[at] - range_[:-1], count) + np.arange(range_[-1])]
+        first = range_[np.searchsorted(start, ends)]
+        if self.fallback:
+            return ids, first
+        again = np.zeros(len(ids), bool)  # of unknown characters side by side the first stands for all
+        again[1:] = (ids[1:] == self.v.unknown) & (ids[:-1] == self.v.unknown)
+        again[first[:-1][np.diff(first) > 0]] = False
+        return ids[~again], first - np.concatenate([[0], np.cumsum(again)])[first]
+
+    def learn(self, hashed: np.ndarray, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        """Encode new parts (from start to stop) of data and remember them by hash, which are sorted."""
+        size = stop - start
+        count, found = np.zeros(len(size), np.int64), []
+        heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        long = heads[stop] - heads[start] > LONG
+        short = np.flatnonzero(~long)
+        ends, i = np.cumsum(size[short] + 1), 0
+        order = []
+        while i < len(short):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + INDEXED, "right")))
-            c, x = self.segment(b"\n".join(data[a : a + n].tobytes() for a, n in zip(start[i:j].tolist(), size[i:j].tolist(), strict=True)), size[i:j])
-            counts.append(c)
-            ids.append(x)
+            some = short[i:j]
+            n = size[some] + 1
+            text = data[np.minimum(np.arange(n.sum()) + np.repeat(start[some] - np.cumsum(n) + n, n), len(data) - 1)]
+            text[np.cumsum(n) - 1] = 10
+            count[some], ids = self.segment(text[:-1].tobytes(), size[some])
+            found.append(ids)
             i = j
-        count = np.concatenate([np.diff(self.first), *counts])
-        first = np.concatenate([[0], np.cumsum(count)])
-        known, all_ids = np.concatenate([self.known, hashed]), np.concatenate([self.ids, *ids])
-        by = np.argsort(known)
-        moved = np.concatenate([[0], np.cumsum(count[by])])
-        self.ids = all_ids[np.repeat(first[:-1][by] - moved[:-1], count[by]) + np.arange(moved[-1])].astype(np.int32)
-        self.known, self.first = known[by], moved
+        order.append(short)
+        for k in np.flatnonzero(long).tolist():
+            found.append(self.stretch(data[start[k] : stop[k]].tobytes()))
+            count[k] = len(found[-1])
+            order.append([k])
+        order = np.concatenate(order).astype(np.int64)
+        where = np.empty(len(size), np.int64)
+        where[order] = len(self.store) + np.cumsum(count[order]) - count[order]
+        self.store = np.concatenate([self.store, *found]).astype(np.int32)
+        spot = np.searchsorted(self.known, hashed)
+        self.known, self.where, self.count = np.insert(self.known, spot, hashed), np.insert(self.where, spot, where), np.insert(self.count, spot, count)
 
     def segment(self, text: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each part of ``text``, whose parts of ``size`` bytes stand one byte apart."""
-        v = self.v
+        """Number of ids of each part of ``text``, whose parts of ``size`` bytes stand one byte apart, and all ids."""
         data = np.frombuffer(text, np.uint8)
-        begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        edges = Edges(v, text)
-        part = np.zeros(len(data), np.int64)
-        part[begin[1:]] = 1
-        part = np.cumsum(part)
+        begin = np.cumsum(size + 1) - size - 1
+        edges = Edges(self.names, text)
         lead = (data & 0xC0) != 0x80
-        lead[(begin[1:] - 1)] = False  # the bytes between parts
+        lead[begin[1:] - 1] = False  # the bytes between parts
         start = np.flatnonzero(lead)
-        stop = np.append(start[1:], len(data))
-        length = np.minimum(stop, (begin + size)[part[start]]) - start
-        start, length, part = (_viterbi if v.unigram else _merge)(v, edges, start, length, part[start])
-        piece = edges.find(start, length)
-        lost = piece < 0
+        part = np.searchsorted(begin, start, "right") - 1
+        nth = np.arange(len(start)) - np.searchsorted(start, begin)[part]  # character of its part
+        until = np.minimum(np.append(start[1:], len(data)), (begin + size)[part])
+        # characters without a piece are edges too
+        ends = np.zeros(len(data) + 1, bool)
+        single = np.zeros(len(data), bool)
+        length_of = np.zeros(len(data), np.int64)
+        length_of[start] = until - start
+        single[edges.place[edges.length == length_of[edges.place]]] = True
+        bare = ~single[start]
+        place = np.concatenate([edges.place, start[bare]])
+        end = np.concatenate([edges.place + edges.length, until[bare]])
+        piece = np.concatenate([edges.piece, np.full(int(bare.sum()), -1)])
+        step = np.full(len(data), LONG, np.uint8)
+        step[start] = nth
+        at = step[place]
+        by = np.argsort(at, kind="stable")  # by position in their parts
+        place, end, piece, at = place[by], end[by], piece[by], at[by]
+        cuts = np.searchsorted(at, np.arange(int(nth.max()) + 2))
+        last, back = np.full(len(data) + 1, -2), np.zeros(len(data) + 1, np.int64)
+        best = np.full(len(data) + 1, -np.inf)
+        best[begin] = 0
+        for k in range(len(cuts) - 1):  # edges that begin at the k-th character of their parts; those of one part end at different places
+            p, e, t = place[cuts[k] : cuts[k + 1]], end[cuts[k] : cuts[k + 1]], piece[cuts[k] : cuts[k + 1]]
+            if self.pairs is not None:
+                take = self.pairs.allow(last[p], t) if k else np.ones(len(p), bool)
+            else:
+                value = best[p] + np.where(t >= 0, self.v.score[t], self.alone)
+                take = value > best[e]
+                best[e[take]] = value[take]
+            last[e[take]], back[e[take]] = t[take], p[take]
+        now = begin + size
+        while len(now):
+            ends[now] = True
+            now = back[now]
+            now = now[step[now] > 0]
+        stop = np.flatnonzero(ends)
+        first, ids = back[stop], last[stop]
+        part = np.searchsorted(begin, first, "right") - 1
+        return self.with_bytes(data, first, stop, ids, part, len(size))
+
+    def with_bytes(self, data: np.ndarray, first: np.ndarray, stop: np.ndarray, ids: np.ndarray, part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        lost = ids < 0
         if not lost.any():
-            return np.bincount(part, minlength=len(size)), piece
-        count = np.where(lost & (v.byte >= 0).all(), length, 1)
-        spot = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        ids = np.where(np.repeat(lost, count), v.byte[data[spot]] if (v.byte >= 0).all() else v.unknown, np.repeat(piece, count))
-        return np.bincount(np.repeat(part, count), minlength=len(size)), ids
+            return np.bincount(part, minlength=parts), ids
+        if not self.fallback:
+            return np.bincount(part, minlength=parts), np.where(lost, self.v.unknown, ids)
+        count = np.where(lost, stop - first, 1)
+        spot = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(np.repeat(part, count), minlength=parts), np.where(np.repeat(lost, count), self.v.byte[data[spot]], np.repeat(ids, count))
+
+    def stretch(self, text: bytes) -> np.ndarray:
+        """Ids of one long part, whose edges are found window by window."""
+        data = np.frombuffer(text, np.uint8)
+        n = len(data)
+        lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)
+        last, back = [-2] * (n + 1), [0] * (n + 1)
+        best = [-np.inf] * (n + 1)
+        best[0] = 0.0
+        score, allows = self.v.score.tolist(), self.pairs and self.pairs.allows
+        for w in range(0, n, INDEXED):
+            edges = Edges(self.names, text[w : w + INDEXED + self.names.wide])
+            by = np.argsort(edges.place)
+            place, end, piece = ((x[by]).tolist() for x in (edges.place + w, edges.place + edges.length + w, edges.piece))
+            x = 0
+            inside = lead[np.searchsorted(lead, w) : np.searchsorted(lead, min(n, w + INDEXED)) + 1].tolist()
+            for here, to in zip(inside, inside[1:], strict=False):
+                prior, value, single = last[here], best[here], False
+                while x < len(place) and place[x] < here:
+                    x += 1
+                while x < len(place) and place[x] == here:
+                    e, t = end[x], piece[x]
+                    single = single or e == to
+                    if allows is None:
+                        if value + score[t] > best[e]:
+                            best[e], last[e], back[e] = value + score[t], t, here
+                    elif allows(prior, t):
+                        last[e], back[e] = t, here
+                    x += 1
+                if not single and (allows is not None or value + self.alone > best[to]):
+                    best[to], last[to], back[to] = value + self.alone, -1, here
+        stops, now = [], n
+        while now:
+            stops.append(now)
+            now = back[now]
+        stop = np.array(stops[::-1], np.int64)
+        first = np.concatenate([[0], stop[:-1]])
+        return self.with_bytes(data, first, stop, np.array([last[x] for x in stop.tolist()], np.int64), np.zeros(len(stop), np.int64), 1)[1]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
         """The texts of the ids' ranges."""
@@ -261,12 +431,12 @@ class Encoder:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id and ids of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
         for batch in batches:
-            for i, j in chunks(batch.column("text"), CHUNK):
+            for i, j in chunks(batch.column("text"), 1 << 20):
                 text = batch.column("text").slice(i, j - i)
                 ids, first = encoder.encode(text)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pc.is_null(text))
@@ -277,7 +447,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id and text of rows of doc_id and ids."""
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = bounded(rows.sparkSession).sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
@@ -292,12 +462,12 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def digest(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and round_trip (whether decoding gives the text back)."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
         for batch in batches:
-            for i, j in chunks(batch.column("text"), CHUNK):
+            for i, j in chunks(batch.column("text"), 1 << 20):
                 text = batch.column("text").slice(i, j - i)
                 ids, first = encoder.encode(text)
                 raw = ids.astype("<i4")
