@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -11,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import ALNUM, LOWER, WORD
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from folioscope.llm import counts, decontamination, language, licenses, pieces, quality, urls
 from folioscope.llm.queries import ORACLES, QUERIES
@@ -219,6 +222,70 @@ def test_a_unigram_vocabulary_takes_the_best_path():
         assert b"".join(names[k] for k in ids) == b" " + text.encode() and abs(score[ids].sum() - best(b" " + text.encode())) < 1e-9
 
 
+def test_long_parts_are_relaxed_window_by_window(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "INDEXED", 100)
+    r = random.Random(3)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "the", "aeé日字🙂", "  a", "0123456789") for n in (64, 65, 99, 100, 101, 700)]
+    ids, first = pieces.Encoder(pieces.Vocabulary.load(pieces.MODEL)).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(texts)
+
+
+def test_long_unspaced_text_takes_time_in_proportion():
+    e = pieces.Encoder(pieces.Vocabulary.load(pieces.MODEL))
+    r, took = random.Random(4), []
+    for n in (16_000, 128_000):
+        text = pa.array(["".join(r.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/") for _ in range(n))])
+        began = time.process_time()
+        e.encode(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0] + 1
+
+
+def plain_merges(score, text):
+    """Merging as it is defined: the best-scored neighbours, the leftmost of equal ones."""
+    now = list(text)
+    while True:
+        best = max(((score[a + b], -k) for k, (a, b) in enumerate(zip(now, now[1:], strict=False)) if a + b in score), default=None)
+        if best is None:
+            return now
+        k = -best[1]
+        now[k : k + 2] = [now[k] + now[k + 1]]
+
+
+@given(st.lists(st.tuples(st.text(alphabet="abc", min_size=2, max_size=5), st.integers(0, 4)), max_size=14), st.text(alphabet="abc", min_size=1, max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_allowed_pairs_are_those_of_merging(made, text):
+    score = {c: -100.0 for c in "abc "} | {p: -float(n) for p, n in made}
+    names = list(score)
+    v = pieces.Vocabulary.of([*(x.encode() for x in names), b"?"], np.array([*score.values(), 0.0]), np.arange(len(names)), np.full(256, -1, np.int32), len(names))
+    e = pieces.Encoder(v)
+    want = plain_merges(score, " " + text)
+    ids, _ = e.encode(pa.array([text]))
+    assert [names[k] for k in ids] == want
+    assert [names[k] for k in e.stretch((" " + text).encode())] == want
+
+
+def test_pieces_that_cannot_be_matched_are_refused():
+    def of(*names):
+        return pieces.Vocabulary.of([*names, b"?"], np.arange(len(names) + 1.0), np.arange(len(names)), np.full(256, -1, np.int32), len(names))
+
+    for bad in (b"a b", b"", b"a\nb", b"ab\0"):
+        with pytest.raises(ValueError, match="piece 2"):
+            of(b"a", b"b", bad)
+    with pytest.raises(ValueError, match="no piece"):
+        of(b"a", b"b", b"abc")
+    long = pieces.Encoder(of(b"a", b" ", *(b"a" * 2**k for k in range(1, 8))))  # longer than any bound on a piece's bytes
+    assert long.encode(pa.array(["a" * 200]))[0].tolist() == [1, 8, 7, 4]
+
+
+def test_neighbouring_unknown_characters_are_one():
+    v = pieces.Vocabulary.of([b"a", b" ", b"?"], np.zeros(3), np.arange(2), np.full(256, -1, np.int32), 2)
+    ids, first = pieces.Encoder(v).encode(pa.array(["ayza", "yz", "z\ny", None, "a"]))
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [[1, 0, 2, 0], [1, 2], [1, 2], [], [1, 0]]
+
+
 def test_encode_and_decode_rows(spark, docs, rows, empty):
     v = pieces.Vocabulary.load(pieces.MODEL)
     encoded = pieces.encode(docs, v)
