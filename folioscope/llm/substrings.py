@@ -10,9 +10,9 @@ a passage that millions of documents share is one row from each task.  Positions
 their documents.  A row whose whole text equals that of a row with a smaller doc_id needs no search: all its windows
 start earlier.
 
-doc_id is the order of documents (null: least).  Null texts have no words and lose nothing; repeated rows of one
-doc_id are one document, and each row gives its own result; texts shorter than the window lose nothing; an empty
-table gives no rows; other columns are not read.
+doc_id is the order of documents (null: least); rows that share one and have different texts are documents of their own, in the
+order of a hash of the text, and equal rows are one document.  Each row gives its own result.  Null texts have no words and lose
+nothing; texts shorter than the window lose nothing; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 from .wordhash import Words, chunks, extend, minimizers, sliding, split, windows
 
 SPAN = "array<struct<first:int,last:int>>"
@@ -78,15 +78,15 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _search(docs: DataFrame, steps: list[int], level: int) -> DataFrame:
-    """At ``level``, each distinct candidate of each document, once at its first place: doc_id, place, hashes.
+    """At ``level``, each distinct candidate of each document, once at its first place: doc_id, v, place, hashes.
 
-    ``docs``: doc_id, text and, for each level before, u0, u1, ...: the unique places.
+    ``docs``: doc_id, v (a hash of the text), text and, for each level before, u0, u1, ...: the unique places.
     """
     last = level == len(steps) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
+            texts, ids, versions = batch.column("text"), batch.column("doc_id"), batch.column("v")
             known = [_lists(batch.column(f"u{k}")) for k in range(level)]
             for i, j in chunks(texts):
                 w = split(texts.slice(i, j - i))
@@ -100,37 +100,39 @@ def _search(docs: DataFrame, steps: list[int], level: int) -> DataFrame:
                 doc = np.searchsorted(w.first, at, side="right") - 1
                 hashed = x.hashes[level][at]
                 if last:
-                    # the last level needs each hash of a document once, at its first place: np.unique gives the first
-                    _, once = np.unique(hashed ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                    # the last level needs each hash of a document once, at its first place: sorting keeps it first
+                    own = hashed ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    once = np.argsort(own, kind="stable")
+                    once = once[np.diff(own[once], prepend=~own[once[:1]]) != 0]
                     at, doc, hashed = at[once], doc[once], hashed[once]
-                out = {"doc_id": ids.take(pa.array(doc + i)), "place": pa.array((at - w.first[doc]).astype(np.int32)), "h": _long(hashed)}
+                rows = pa.array(doc + i)
+                out = {"doc_id": ids.take(rows), "v": versions.take(rows), "place": pa.array((at - w.first[doc]).astype(np.int32)), "h": _long(hashed)}
                 if last:
                     out["g"] = _long(windows(w.hash, steps[-1], 77)[at])  # a second hash: 128 bits decide
                 yield pa.RecordBatch.from_pydict(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, place int, h long" + ", g long" * last)
+    return docs.mapInArrow(run, f"doc_id {kind}, v long, place int, h long" + ", g long" * last)
 
 
 def _returned(found: DataFrame, name: str) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.collect_list("place").alias(name))
+    return found.groupBy("doc_id", "v").agg(F.collect_list("place").alias(name))
 
 
 def _unique(found: DataFrame) -> DataFrame:
     """Places of the hashes that occur once."""
-    return found.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("place").alias("place")).where("n = 1").drop("h", "n")
+    return found.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("v").alias("v"), F.min("place").alias("place")).where("n = 1").drop("h", "n")
 
 
 def _first(found: DataFrame) -> DataFrame:
     """The first place of each hash."""
-    return found.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"))
+    return found.groupBy("h", "g").agg(F.min(F.struct("doc_id", "v", "place")).alias("f")).select("f.*")
 
 
 def _with(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
     for x in found:
-        name = next(c for c in x.columns if c != "doc_id")
-        x = x.withColumnRenamed("doc_id", "_d")
-        docs = docs.join(x, docs.doc_id.eqNullSafe(x._d), "left").drop("_d")
+        x = x.withColumnsRenamed({"doc_id": "_d", "v": "_v"})
+        docs = docs.join(x, docs.doc_id.eqNullSafe(x._d) & (docs.v == x._v), "left").drop("_d", "_v")
     return docs
 
 
@@ -140,13 +142,12 @@ def repeats(docs: DataFrame, whole: int = 20, levels: int = 3) -> DataFrame:
     A word is removed if a window of ``whole`` words over it also starts earlier.
     """
     steps = lengths(whole, levels)
-    rows = docs.select("doc_id", "text")
-    same = rows.where("text IS NOT NULL").groupBy(F.md5("text").alias("_m"), F.char_length("text").alias("_n")).agg(F.min(F.struct("doc_id")).alias("f"))
-    firsts = same.select("f.doc_id").distinct().withColumn("own", F.lit(True))
-    firsts = cut(firsts)
+    bounded(docs.sparkSession)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("v"), "text")
+    same = rows.where("text IS NOT NULL").groupBy(F.md5("text").alias("_m"), F.char_length("text").alias("_n")).agg(F.min(F.struct("doc_id", "v")).alias("f"))
+    firsts = cut(same.select("f.*").distinct().withColumn("own", F.lit(True)))
     found: list[DataFrame] = []
-    own = firsts.withColumnRenamed("doc_id", "_d")
-    marked = rows.join(own, rows.doc_id.eqNullSafe(own._d), "left").drop("_d")
+    marked = _with(rows, [firsts])
     for level in range(len(steps) - 1):
         source = rows if level == 0 else _with(marked.where("own").drop("own"), found)
         unique = _returned(_unique(_search(source, steps, level)), f"u{level}")

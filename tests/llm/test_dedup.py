@@ -66,6 +66,17 @@ def test_substring_spans_and_repeated_rows(spark, empty):
     assert substrings.repeats(empty).count() == 0
 
 
+def test_substrings_of_repeated_and_null_ids(spark):
+    text = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    for one in (1, None):
+        rows = [(one, text(0, 200)), (one, text(500, 600)), (2, text(0, 200) + " x"), (2, None), (2, ""), (3, text(520, 545) + " " + text(0, 3))]
+        got = sorted((r.n_words, r.n_removed) for r in substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == [(0, 0), (0, 0), (28, 25), (100, 0), (200, 0), (201, 200)]
+    rows = [("b", text(0, 50)), ("a", text(10, 60)), ("a", text(10, 60))]
+    got = sorted((r.doc_id, r.n_removed) for r in substrings.repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("a", 0), ("a", 0), ("b", 40)]
+
+
 def near_lines(rows):
     occurrences = [(i, k, " ".join(ALNUM.findall(x.translate(LOWER)))) for i, t, *_ in sorted(rows, key=lambda x: x[0]) for k, x in enumerate((t or "").split("\n"))]
     occurrences = [o for o in occurrences if o[2]]
