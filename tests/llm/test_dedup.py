@@ -1,7 +1,7 @@
 """Operators 1, 3 and 6 against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -323,6 +323,20 @@ def test_divide_skip_equals_counting():
         assert set(index.search(own, 60, lambda c: False)) == want
 
 
+@given(st.lists(st.lists(st.integers(0, 12), max_size=8, unique=True).map(sorted), max_size=9), st.integers(1, 6))
+@settings(max_examples=300, deadline=None)
+def test_merging_with_skips_counts_all(lists, least):
+    count = Counter(x for one in lists for x in one)
+    assert dict(jaccard.merged(lists, least)) == {x: n for x, n in count.items() if n >= least}
+
+
+def test_jaccard_of_any_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [("b", text), ("a", text + " end"), ("b", "other words of the same id"), (None, text + " tail"), (None, None), ("c", None), ("d", ""), ("e", text), ("e", text)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=str)
+    assert got == sorted([("b", 57, "a"), ("a", 58, "a"), ("b", 3, "b"), (None, 58, "a"), (None, 0, None), ("c", 0, "c"), ("d", 0, "d"), ("e", 57, "a"), ("e", 57, "a")], key=str)
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, 1000 + k) for k in range(1, 80)] + [(2000 + k, 2001 + k) for k in range(60)] + [(5, 5), (None, 3)]
