@@ -5,19 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
-#: A side of a join is broadcast only if a count has shown that it has at most this many rows of a few dozen bytes.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast only if it has been counted and has at most this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 24 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset (tests on one machine) a temporary one."""
+    """The folder that spark.checkpoint.dir names; only where it is unset and all is on one machine (tests) a temporary one."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -48,6 +51,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcasting if a count proves that it has at most ``rows`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcasting if a count proves that it has at most ``rows`` rows and ``most`` bytes; else as it is."""
+    sizes = [_bytes(f"`{x.name}`", x.dataType) for x in df.schema]
+    n, size = df.select(*(x.alias(f"_{k}") for k, x in enumerate(sizes))).limit(rows + 1).agg(F.count("*"), F.sum(sum((F.col(f"_{k}") for k in range(len(sizes))), F.lit(0)))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most else df
+
+
+def _bytes(name: str, kind: DataType) -> Column:
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)).cast("long") + 16
+    if isinstance(kind, ArrayType):
+        inner = F.size(name) * 32 if not isinstance(kind.elementType, (StringType, BinaryType)) else F.octet_length(F.array_join(name, "")) + 16 * F.size(name)
+        return F.coalesce(inner, F.lit(0)).cast("long") + 16
+    return F.lit(8).cast("long")

@@ -1,15 +1,15 @@
 """Benchmark decontamination: containment of test items in documents by size-partitioned MinHash sketches.
 
-Each item keeps a bottom-k MinHash sketch: the least hashes of its distinct five-word shingles.  k follows the
-item's size, so items are partitioned by size: of n shingles, a document that contains at least t n lacks at most
-n - ceil(t n), so the n - ceil(t n) + 1 least ones cannot all be missing.  Documents, whose own sketches would be
-useless (an item of 40 shingles in a document of 20,000 has a Jaccard similarity near 0.002), offer every
-shingle's hash; the search therefore loses no pair.  Candidates are then verified by exact containment of shingle
-strings.  DataFrame functions only.
+Items are partitioned by their number of distinct five-word shingles (``PARTITIONS``).  Each keeps a MinHash sketch: its least
+hashes.  Of n shingles, a document that contains at least t n lacks at most n - ceil(t n), so of the n - ceil(t n) + m least ones
+at least m are in it; a partition's m, the hits that it asks for, is larger where items are.  A document's sketch is its hashes up to
+the greatest of the items' sketches.  So nothing is lost by chance.  Candidates are verified by exact containment of shingle strings.  DataFrame functions
+only.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased.  An item with fewer words than a
-shingle has no shingle and is never found; null texts have no words; a document repeated in the table counts once;
-an empty table on either side gives no rows; other columns are not read.
+shingle has no shingle and is never found; null texts have no words; a document repeated in the table counts once (the words of
+rows that share a doc_id count together); rows of a null doc_id contain nothing; an empty table on either side gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ from .common import cut, small
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Partitions of the items: least number of shingles, and hits that are asked for.
+PARTITIONS = ((1, 1), (16, 2), (64, 4), (256, 8))
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SEPARATOR), "")
 
@@ -48,26 +52,34 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: floa
     item = (item.withColumn("h", F.xxhash64(*[F.get(F.split("shingle", " "), F.lit(k)) for k in range(width)]))
             .withColumn("n_shingles", F.count("*").over(W.partitionBy("item_id"))).withColumn("rank", F.row_number().over(least)))
     needed = F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9)
-    sketch = item.where(F.col("rank") <= F.col("n_shingles") - needed + 1).select("h", "item_id")
+    partition = F.greatest(*[F.when(F.col("n_shingles") >= n, k).otherwise(0) for k, (n, _) in enumerate(PARTITIONS)], F.lit(0))
+    hits = F.element_at(F.array(*[F.lit(m) for _, m in PARTITIONS]), F.col("partition") + 1)
+    item = cut(item.withColumn("needed", needed).withColumn("partition", partition).withColumn("hits", F.least(hits, "needed")))
+    sketch = item.where(F.col("rank") <= F.col("n_shingles") - F.col("needed") + F.col("hits")).select("h", "item_id", "hits")
+    # a document's sketch: its hashes up to the greatest of the items' sketches
+    bound = sketch.agg(F.max("h").alias("h")).first()["h"]
+    probe = (docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
+             .select("doc_id", F.explode(shingle_hashes(width)).alias("h")).where(F.col("h") <= F.lit(bound)))
     # each hash once, so that a shingle that many items share does not multiply the probes
-    probe = docs.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes(width)).alias("h"))
-    hits = probe.join(small(sketch.select("h").distinct()), "h", "left_semi").distinct()
-    candidates = cut(hits.join(small(sketch), "h").select("doc_id", "item_id").distinct())
+    met = probe.join(small(sketch.select("h").distinct()), "h", "left_semi").distinct()
+    met = met.join(small(sketch), "h").groupBy("doc_id", "item_id", "hits").agg(F.count("*").alias("met"))
+    candidates = cut(met.where("met >= hits").select("doc_id", "item_id"))
 
     ids = candidates.select("doc_id").distinct()
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
     held = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(width)).alias("shingle"))
     known = small(item.select("shingle").distinct())
     held = held.join(known, "shingle", "left_semi").distinct()
-    wanted = candidates.join(small(item.select("item_id", "shingle", "n_shingles")), "item_id")
-    shared = wanted.join(held, ["doc_id", "shingle"]).groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_shared"))
-    return (shared.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9))
+    wanted = candidates.join(small(item.select("item_id", "shingle", "n_shingles", "needed")), "item_id")
+    shared = wanted.join(held, ["doc_id", "shingle"]).groupBy("doc_id", "item_id", "n_shingles", "needed").agg(F.count("*").alias("n_shared"))
+    return (shared.where("n_shared >= needed")
             .select("doc_id", "item_id", "n_shingles", "n_shared", F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment")))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents that contain no item, with all their columns; documents without an id stay."""
-    return docs.join(small(contained(docs, items, width, threshold).select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    found = cut(contained(docs, items, width, threshold).select("doc_id").distinct())
+    return docs.join(small(found), "doc_id", "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, small
 
 #: Blocks of the filter for each listed key: 256 bits hold about 16 keys at under 1 % false positives.
 KEYS_PER_BLOCK = 16
@@ -64,7 +64,7 @@ def match(parts: DataFrame, listed: DataFrame, lengths: list[int], broadcast_row
                .withColumn("block", _block("key", blocks)).withColumn("h", F.xxhash64("key", F.lit(1))))
     hit = " AND ".join(f"(shiftright(w{k}, cast(shiftright(h, {6 * k}) & 63 as int)) & 1L) = 1L" for k in range(4))
     possible = offered.join(F.broadcast(filter_) if fits else filter_, "block").where(hit).select("host", "path", "key")
-    return possible.join(F.broadcast(keys) if count <= broadcast_rows else keys, "key").select("host", "path", "rule", "verdict")
+    return possible.join(small(keys, broadcast_rows), "key").select("host", "path", "rule", "verdict")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
