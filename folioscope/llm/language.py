@@ -2,7 +2,8 @@
 
 A known word scores by its log frequency in each language.  An unseen word scores by character n-grams: at each
 of its positions the longest n-gram that the model knows counts, from five characters down to one.  A text takes
-the language with the largest sum; the score is that language's share of exp(sum).
+the language with the largest sum; the score is that language's share of exp(mean by word), so it tells how clearly the words speak
+for the language, and does not grow with the text.
 
 The model is fitted on a sample of ``max_train`` distinct labelled texts (all, if there are no more), chosen by a hash of the
 text: of each language the same number at most, so that languages with fewer texts give them all and none is left out
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import bounded
 from .wordhash import U64, chunks, split, windows
 
 #: Distinct labelled texts that the model is fitted on, at most.
@@ -148,7 +150,8 @@ class LanguageModel:
             for k in np.flatnonzero(has & ~_ascii_letter(w)):
                 has[k] = any(map(str.isalpha, part[int(k)].as_py() or ""))
             best = total.argmax(1)
-            share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+            mean = total / np.maximum(1, np.diff(w.first))[:, None]
+            share = 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1)
             pred[i:j] = np.where(has, best, -1)
             score[i:j] = np.where(has, share, 0)
         return pred, score
@@ -188,6 +191,7 @@ def sample(labelled: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
     """From text and lang of a sample of ``max_train`` distinct texts at most."""
+    bounded(labelled.sparkSession)
     rows = sample(labelled, max_train)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +212,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*sent.value.languages, "und"], object)
@@ -221,8 +225,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0) -> DataFrame:
-    """The documents whose language is known with a score above ``least``, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """The documents whose language is known with a score above ``least``, with all their columns; equal rows all stay or all go."""
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
