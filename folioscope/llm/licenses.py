@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import bounded
 from .lines import NOT_WORD
 from .wordhash import chunks, split, windows
 
@@ -44,7 +45,7 @@ _BSD_END = ("THIS SOFTWARE IS PROVIDED BY <<var;name=holder;words=1-12>> \"AS IS
             "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
             "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE")
 
-#: Public notices and whole wordings (labels ending in -notice: a license's opening alone), with their optional and replaceable
+#: Public notices and whole wordings (mit-grant-notice and bsd-notice: a license's opening alone), with their optional and replaceable
 #: regions.  Each opens with two mandatory words or more.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the \"License\"); you may not use this file except in compliance with the License. "
@@ -55,6 +56,18 @@ TEMPLATES = {
     "mit-text": _MIT,
     "bsd-2-clause": _BSD + _BSD_END,
     "bsd-3-clause": _BSD + _BSD_NAMES + _BSD_END,
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+           "THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var;name=holder;words=1-12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL "
+           "<<var;name=holder;words=1-12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+           "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the <<var;name=holder;words=1-4>> be held liable for any damages arising from the use of this software. "
+            "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+            f"{_BULLET}The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation "
+            f"would be appreciated but is not required. {_BULLET}Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+            f"{_BULLET}This notice may not be removed or altered from any source distribution",
+    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+                         "<<var;name=url;words=1-8>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS "
+                         "OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License",
     "gpl-3.0": "licensed under the GNU General Public License<<beginOptional>>,<<endOptional>> version 3 <<beginOptional>>or <<beginOptional>>at your option<<endOptional>> any later version<<endOptional>>",
     "lgpl": "under the <<beginOptional>>terms of the<<endOptional>> GNU Lesser General Public License <<beginOptional>>version <<var;name=version;words=1-2>><<endOptional>>",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -203,6 +216,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
                      pa.array(found, pa.list_(pa.struct([("label", pa.string()), ("first", pa.int32()), ("words", pa.int32())])))],
                     ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"])
 
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 

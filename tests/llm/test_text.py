@@ -113,6 +113,20 @@ def test_whole_wordings_are_told_from_their_openings(spark):
     assert [r.labels for r in got] == ["mit-grant-notice,mit-text", "bsd-2-clause,bsd-notice", "bsd-3-clause,bsd-notice", "mit-grant-notice", "mit-grant-notice"]
 
 
+def test_one_mandatory_word_changed_is_not_the_license(spark):
+    fill = lambda x: re.sub(r"<<var[^>]*>>", "holder", re.sub(r"<<beginOptional>>.*?<<endOptional>>", "", x))
+    whole = {k: fill(licenses.TEMPLATES[k]) for k in ("mit-text", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "apache-2.0-notice")}
+    rows = []
+    for name, text in whole.items():
+        words = text.split()
+        for k in (len(words) // 2, len(words) * 3 // 4, len(words) - 1):
+            at = next(x for x in range(k, 0, -1) if "holder" not in words[x])
+            rows.append((f"{name} {k}", " ".join([*words[:at], "changed", *words[at + 1 :]])))
+        rows.append((name, text + " and so on"))
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all((name.split()[0] in labels) == (" " not in name) for name, labels in got.items())
+
+
 def test_license_scan(spark, docs, rows, empty):
     extra = [(9001, "CC-by, cc BY! General Public License. All rights\nreserved", None, None, 0, "", ""), (9002, "Released under the MIT open source License", None, None, 0, "", ""), (9003, "Released under the MIT no License", None, None, 0, "", "")]
     out = {r.doc_id: r for r in licenses.scan(docs.unionByName(spark.createDataFrame(extra, docs.schema))).collect()}
@@ -372,6 +386,22 @@ def test_language(spark):
     assert {r.doc_id for r in language.keep_identified(odd, model).collect()} == {4, 5, 6}
 
 
+def test_the_score_tells_clear_texts_from_mixed_ones(spark):
+    _, docs = labelled(spark, 3)
+    en, fr = WORDS["en"].split(), WORDS["fr"].split()
+    mixed = [w for pair in zip(en, fr, strict=False) for w in pair]
+    texts = [" ".join(en), " ".join(en * 50), " ".join(mixed), " ".join(mixed * 50)]
+    got = [r.score for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), language.fit(docs)).orderBy("doc_id").collect()]
+    assert got[0] > 0.9 and got[2] < 0.8 and abs(got[0] - got[1]) < 1e-3 and abs(got[2] - got[3]) < 1e-3
+
+
+def test_ties_and_repeated_rows_in_language(spark):
+    docs = spark.createDataFrame([(k, t, lang) for k in range(4) for t, lang in (("uno dos", "b"), ("uno dos", "a"))], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    got = language.identify(spark.createDataFrame([(1, "uno"), (1, "uno"), (None, "dos"), (2, "zzz")], "doc_id long, text string"), model).collect()
+    assert {r.lang_pred for r in got} == {"a"} and len(got) == 4 and language.identify(docs.limit(0), model).count() == 0
+
+
 def test_language_without_labels_and_sampled(spark):
     rows, docs = labelled(spark, 2)
     assert {r.lang_pred for r in language.identify(docs, language.fit(docs.limit(0))).collect()} == {"und"}
