@@ -4,9 +4,11 @@ A batch of changes (inserts, deletes, revisions) becomes signed rows: what a doc
 counts now with sign +1.  Their sums by source, language and tokenizer version are the batch's delta, and totals are the sum of
 the committed deltas; nothing is counted anew.  A batch is written to a folder named by its id and becomes part of the totals
 when its marker file exists, which is created last: a batch that failed half-way counts for nothing and is written over,
-and one that is committed again changes nothing.
+and one that is committed again changes nothing.  Of two batches that are prepared side by side the second to finish fails, and
+is to be sent again.
 
-All state lies in a folder of the shared store.  Deletes of unknown documents change nothing; an insert of a known document
+Rows of the ledger lie in ``BUCKETS`` folders by doc_id, and a batch reads those of its own documents.  ``compact`` replaces what was
+committed so far by one row for each counted document.  All state lies in a folder of the shared store.  Deletes of unknown documents change nothing; an insert of a known document
 revises it; of a doc_id's repeated rows in a batch the one that counts most tokens holds (and a delete goes before any); null
 texts count 0 tokens; null sources, languages and doc_ids are values like others; empty batches commit an empty delta.
 """
@@ -17,15 +19,17 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shared_folder
+from .common import bounded, shared_folder
 from .wordhash import chunks
 
 KEYS = ["source", "lang", "tokenizer_version"]
 NUMBERS = ["n_docs", "n_tokens", "n_chars"]
+#: Folders that a batch's ledger rows are dealt to.
+BUCKETS = 64
 
 #: Public byte-level vocabulary and its split pattern's module, by its place on the driver.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,6 +39,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 def count_tokens(docs: DataFrame, version: str, path: str = RANKS) -> DataFrame:
     """doc_id, source, lang, tokenizer_version, n_tokens and n_chars of every row."""
+    bounded(docs.sparkSession)
     with open(path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -67,18 +72,44 @@ class Rollup:
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *names]))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[str]:
-        path, fs = self._path("commits")
+    def _names(self, *names: str) -> list[str]:
+        path, fs = self._path(*names)
         return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
 
-    def _read(self, kind: str) -> DataFrame | None:
-        paths = [f"{self.folder}/{kind}/{b}" for b in self.committed()]
-        return self.spark.read.parquet(*paths) if paths else None
+    def committed(self) -> list[str]:
+        return self._names("commits")
 
-    def current(self) -> DataFrame | None:
-        """What each document counts now."""
+    def _bases(self) -> list[str]:
+        return self._names("bases")
+
+    def _read(self, kind: str) -> DataFrame | None:
+        """The last base's rows and those of batches that it does not hold."""
+        bases, batches = self._bases(), self.committed()
+        if bases:
+            held = {r["batch"] for r in self.spark.read.parquet(f"{self.folder}/base-{bases[-1]}/holds").collect()}
+            batches = [b for b in batches if b not in held]
+        paths = [f"{self.folder}/base-{b}/{kind}" for b in bases[-1:]] + [f"{self.folder}/{kind}/{b}" for b in batches]
+        rows = [self.spark.read.parquet(p) for p in paths]  # each by itself, for a batch may have no bucket at all
+        out = None
+        for x in rows:
+            out = x if out is None else out.unionByName(x, allowMissingColumns=True)
+        return out
+
+    def current(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """What each document counts now, of some buckets or of all."""
         ledger = self._read("ledger")
-        return ledger and ledger.groupBy("doc_id", *KEYS, "n_tokens", "n_chars").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
+        if ledger is None:
+            return None
+        if buckets is not None:
+            ledger = ledger.where(F.col("bucket").isin(buckets))
+        return ledger.groupBy("doc_id", *KEYS, "n_tokens", "n_chars").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
+
+    def _put(self, rows: DataFrame, path: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
 
     def commit(self, batch: str, changed: DataFrame, deleted: DataFrame | None = None) -> bool:
         """Apply inserted or revised counts and deleted doc_ids (doc_id, tokenizer_version); False if the batch was applied before."""
@@ -87,27 +118,56 @@ class Rollup:
         marker, fs = self._path("commits", batch)
         if fs.exists(marker):
             return False
+        turn = len(self._names("turns"))
         columns = ["doc_id", *KEYS, "n_docs", "n_tokens", "n_chars"]
         best = W.partitionBy("doc_id", "tokenizer_version").orderBy(F.desc("n_tokens"), F.desc("n_chars"), "source", "lang")
-        new = changed.withColumn("n_docs", F.lit(1).cast("long")).withColumn("_k", F.row_number().over(best)).where("_k = 1").select(columns)
-        known = self.current()
+        # counted once: the texts are not tokenised again for what the rows are asked below
+        new = self._put(changed.withColumn("n_docs", F.lit(1).cast("long")).withColumn("_k", F.row_number().over(best)).where("_k = 1").select(columns), f"{self.folder}/new/{batch}")
         touched = new.select("doc_id", "tokenizer_version")
         if deleted is not None:
-            gone = deleted.select("doc_id", "tokenizer_version").distinct()
-            touched = touched.unionByName(gone)
+            touched = touched.unionByName(deleted.select("doc_id", "tokenizer_version"))
+        touched = touched.distinct()
         rows = new
-        if known is not None:
-            touched = touched.distinct().select(F.col("doc_id").alias("_d"), F.col("tokenizer_version").alias("_v"))
+        if self.committed():
+            buckets = [r["b"] for r in touched.select(self._bucket().alias("b")).distinct().collect()]  # BUCKETS at most
+            touched = touched.select(F.col("doc_id").alias("_d"), F.col("tokenizer_version").alias("_v"))
+            known = self.current(buckets)
             old = known.join(touched, known.doc_id.eqNullSafe(F.col("_d")) & known.tokenizer_version.eqNullSafe(F.col("_v")), "left_semi")
             rows = new.unionByName(old.withColumn("n_docs", -F.col("n_docs")).select(columns))
         ledger = f"{self.folder}/ledger/{batch}"
-        rows.write.mode("overwrite").parquet(ledger)
-        signed = self.spark.read.schema(rows.schema).parquet(ledger)
-        (signed.groupBy(KEYS).agg(F.sum("n_docs").alias("n_docs"), *[F.sum(F.col(c) * F.signum("n_docs").cast("long")).alias(c) for c in NUMBERS[1:]])
-         .write.mode("overwrite").parquet(f"{self.folder}/delta/{batch}"))
+        rows.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(ledger)
+        signed = self.spark.read.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)).parquet(ledger)
+        self._put(self._sums(signed), f"{self.folder}/delta/{batch}")
+        # the turn is taken by one batch only: another that has read the same state finds it taken
+        path, _ = self._path("turns", f"{turn:09d}")
+        if fs.exists(path):
+            raise RuntimeError("another batch was committed meanwhile; send this one again")
+        fs.create(path, False).close()
         fs.create(marker, False).close()
+        fs.delete(self._path("new", batch)[0], True)
         return True
 
+    @staticmethod
+    def _sums(signed: DataFrame) -> DataFrame:
+        return signed.groupBy(KEYS).agg(F.sum("n_docs").alias("n_docs"), *[F.sum(F.col(c) * F.signum("n_docs").cast("long")).alias(c) for c in NUMBERS[1:]])
+
+    def compact(self) -> None:
+        """One row for each counted document and one for each total in place of all batches' rows; batches stay known as committed."""
+        batches, name = self.committed(), f"{len(self._bases()):09d}"
+        if not batches:
+            return
+        turn = len(self._names("turns"))
+        columns = ["doc_id", *KEYS, "n_docs", "n_tokens", "n_chars"]
+        self.current().select(columns).withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/base-{name}/ledger")
+        self._put(self.totals(), f"{self.folder}/base-{name}/delta")
+        self._put(self.spark.createDataFrame([(b,) for b in batches], "batch string"), f"{self.folder}/base-{name}/holds")
+        path, fs = self._path("turns", f"{turn:09d}")
+        fs.create(path, False).close()
+        fs.create(self._path("bases", name)[0], False).close()
+        for b in batches:
+            for kind in ("ledger", "delta"):
+                fs.delete(self._path(kind, b)[0], True)
+
     def totals(self) -> DataFrame:
         delta = self._read("delta")
         if delta is None:

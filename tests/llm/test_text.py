@@ -197,6 +197,36 @@ def test_rollup_query_revises(spark, sf_dir):
     assert {(r.source, r.lang): (r.n_docs, r.n_tokens, r.n_chars) for r in rollup.totals().collect()} == want
 
 
+def test_rollup_compacts_and_takes_turns(spark, tmp_path):
+    schema = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, n_chars long"
+    rows = lambda *x: spark.createDataFrame([(i, s, "en", "v", n, 2 * n) for i, s, n in x], schema)
+    rollup = counts.Rollup(spark, str(tmp_path))
+    total = lambda: {r.source: (r.n_docs, r.n_tokens, r.n_chars) for r in rollup.totals().collect()}
+    rollup.compact()
+    assert total() == {} and rollup.commit("a", rows((1, "s", 5), (2, "s", 7), (None, "t", 1)))
+    for batch, changed, gone, want in (
+        ("b", rows((1, "s", 6), (3, "t", 2)), None, {"s": (2, 13, 26), "t": (2, 3, 6)}),
+        ("c", rows(), spark.createDataFrame([(2, "v"), (9, "v")], "doc_id long, tokenizer_version string"), {"s": (1, 6, 12), "t": (2, 3, 6)}),
+        ("d", rows((None, "s", 4)), None, {"s": (2, 10, 20), "t": (1, 2, 4)})):
+        rollup.compact()
+        assert rollup.commit(batch, changed, gone) and not rollup.commit("a", rows((1, "s", 99)))
+        assert total() == want
+        rollup.compact()
+        assert total() == want
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rollup.current().collect()) == [(0, 4), (1, 6), (3, 2)]
+
+    class Late(counts.Rollup):
+        """Another batch is committed while this one's rows are written."""
+
+        def _sums(self, signed):
+            rollup.commit("first", rows((7, "s", 1)))
+            return counts.Rollup._sums(signed)
+
+    with pytest.raises(RuntimeError, match="again"):
+        Late(spark, str(tmp_path)).commit("second", rows((7, "s", 2)))
+    assert rollup.commit("second", rows((7, "s", 2))) and total()["s"] == (3, 12, 24)
+
+
 # ---- SentencePiece -------------------------------------------------------------------------------------------
 
 
@@ -315,9 +345,11 @@ def test_quality(docs, rows, empty):
 
     m = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     v = pieces.Vocabulary.load(pieces.MODEL)
-    texts = {i: t or "" for i, t, *_ in rows}
-    for r in quality.measure(docs, v).collect():
-        t = texts[r.doc_id]
+    texts = {i: (t or "", lang) for i, t, lang, *_ in rows}
+    bands = {"en": quality.Band(1.0, 2.0, 0.2, 0.75), "fr": quality.Band(1.2, 2.5, 0.01, 0.5)}
+    kept = 0
+    for r in quality.measure(docs, v, languages=bands).collect():
+        t, lang = texts[r.doc_id]
         w = WORD.findall(t)
         own = [x for x in t.split("\n") if WORD.search(x)]
         seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
@@ -327,7 +359,13 @@ def test_quality(docs, rows, empty):
         ids = m.encode(t)
         assert abs(r.chars_per_token - len(t) / max(1, len(ids))) < 1e-9
         assert abs(r.token_entropy + sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())) < 1e-6
-        assert not (failed and r.kept)
+        script = Counter("latin" if c < "\u0250" else "other" for c in t if c.isalpha()).most_common(1)
+        band = bands.get(lang, quality.BANDS["latin"]) if script and script[0][0] == "latin" else quality.BANDS["other"]
+        share = sum(m.is_byte(x) for x in ids) / max(1, len(ids))
+        inside = band.fewest <= r.chars_per_token <= band.most and share <= band.fallback and r.token_entropy >= band.entropy * math.log2(min(512, max(2, len(ids))))
+        assert r.kept == (not failed and inside), (r, band)
+        kept += r.kept
+    assert 0 < kept < len(rows)
     assert quality.measure(empty, v).count() == 0
 
 
@@ -354,11 +392,25 @@ def test_latin_junk_beyond_the_base_rules_is_rejected_and_long_clean_text_is_not
     junk, said = r.sample(known, 22), known + [a + b for a in known[::5] for b in known[1::17]]
     text = lambda words, n: " ".join(r.choice(words) for _ in range(n))
     rows = [(1, text(junk, 600), "en"), (2, text(said, 20_000), "de"), (3, text(said, 600), "de"), (4, text(said, 600), None), (5, text(junk, 600), None)]
-    got = {x.doc_id: x for x in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), pieces.Vocabulary.load(pieces.MODEL)).collect()}
+    bands = {k: quality.Band(1.9, 7.0, 0.08, 0.69) for k in ("en", "de")}
+    got = {x.doc_id: x for x in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), pieces.Vocabulary.load(pieces.MODEL), languages=bands).collect()}
     assert not any(x.base_failed for x in got.values()) and {x.script for x in got.values()} == {"latin"}
     assert {k: x.kept for k, x in got.items()} == {1: False, 2: True, 3: True, 4: True, 5: False}
 
 
+def test_fitted_bands_reject_bad_documents_and_no_good_ones(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    v = pieces.Vocabulary.load(pieces.MODEL)
+    bands = quality.fit(docs, labels, v)
+    assert set(bands) <= {"en", "de", "fr", "es"} and bands
+    found = quality.measure(docs, v, languages=bands).join(labels, "doc_id").where("NOT base_failed").collect()
+    good, bad = ([x.kept for x in found if x.quality == q and True] for q in (1, 0))
+    assert all(good) and len(good) > 100 and sum(bad) < 0.7 * len(bad)
+    assert quality.fit(docs, labels.limit(0), v) == {} and quality.fit(docs.limit(0), labels, v) == {}
+    assert 0 < len(quality.fit(docs, labels, v, 250)) <= len(bands)
+
+
 # ---- language ------------------------------------------------------------------------------------------------
 
 WORDS = {"en": "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were", "fr": "le de un à être et en avoir que pour dans ce il qui ne sur se pas plus par je avec tout faire son mettre autre on mais nous", "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach"}
