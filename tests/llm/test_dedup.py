@@ -258,6 +258,10 @@ def test_edit_distance(a, b):
             now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
         row = now
     assert lines.edit_distance(a, b) == row[-1]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lines, "LOOK", 3)
+        for most in range(8):
+            assert (lines.edit_distance(a, b, most) <= most) == (row[-1] <= most)
     for similarity in (0.5, 0.8):
         assert lines.alike(a, b, similarity) == (max(len(a), len(b)) - row[-1] >= similarity * max(len(a), len(b)) - 1e-9)
 
