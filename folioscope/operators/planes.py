@@ -83,17 +83,17 @@ def _level(parent: Section, level: Level, inherited: str | None, out: Findings)
     of = [level.slot_of(n.name) for n in nodes]
     free = {name for s in slots.values() if s.repeatable for name in s.names}
 
-    first_names: set[str] = set()
-    first_keys: dict[str, str] = {}
-    for n in nodes:
-        if n.name in first_names:
-            if n.name not in free:
-                out.add("structure/duplicate-section", f"the section {n.name!r} stands twice", n, hint)
-            continue
-        first_names.add(n.name)
+    # of each name and of each key the first heading stands; what differs from it is reported
+    first = {n.name: at for at, n in reversed([*enumerate(nodes)])}
+    owner = {camel_key(n.name): n.name for n in reversed(nodes)}
+    for at, n in enumerate(nodes):
         key = camel_key(n.name)
-        if key and first_keys.setdefault(key, n.name) != n.name and n.name not in free:
-            out.add("structure/key-collision", f"{n.name!r} and {first_keys[key]!r} share the key {key!r}", n, hint)
+        if n.name in free:
+            continue
+        if first[n.name] != at:
+            out.add("structure/duplicate-section", f"the section {n.name!r} stands twice", n, hint)
+        elif key and owner[key] != n.name:
+            out.add("structure/key-collision", f"{n.name!r} and {owner[key]!r} share the key {key!r}", n, hint)
 
     bound: dict[int, str] = {}
     for n, k in zip(nodes, of, strict=True):
@@ -149,13 +149,10 @@ def _slot(n: Section, s: Slot, hint: str | None, out: Findings) -> None:
     for name, leaf in _leaves(s):
         block = _block(n, name)
         leaf_hint = leaf.description or hint
-        kind = "paragraph" if isinstance(leaf, MaxWords) else leaf.kind
-        if isinstance(leaf, MaxWords) and name is None:
-            continue
         if block is None:
-            out.add("structure/block-missing", f"there is no {kind}" + (f" ^{name}" if name else ""), n, leaf_hint)
-        elif not isinstance(leaf, MaxWords) and block.kind != kind:
-            out.add("structure/block-kind", f"a {kind} is expected, not a {block.kind}", block, leaf_hint)
+            out.add("structure/block-missing", f"there is no {leaf.kind}" + (f" ^{name}" if name else ""), n, leaf_hint)
+        elif block.kind != leaf.kind:
+            out.add("structure/block-kind", f"a {leaf.kind} is expected, not a {block.kind}", block, leaf_hint)
     _text(s.text, n, camel_key(n.name), n, hint, out)
     for r in s.rules:
         _custom(r, n, out)
@@ -182,47 +179,45 @@ class Walk:
 
 
 class Strict:
-    """Strict order as a transition table: states (spec, whether it has taken a section), symbols the specs that a name fits."""
+    """Strict order by tables of the level: from each place the next slot, the next gap, and the next spec that holds an unknown section.
+
+    A name's own places in the level say where its section may go; what lies between is looked up, not walked over.
+    """
 
     def __init__(self, level: Level):
-        self.level = level
-        self.specs = level.specs
-
-    def symbol(self, name: str) -> tuple[int, ...]:
-        return tuple(k for k, x in enumerate(self.specs) if isinstance(x, Slot) and name in x.names)
-
-    @lru_cache(maxsize=4096)  # noqa: B019
-    def step(self, at: int, taken: bool, symbol: tuple[int, ...]) -> tuple[int, bool, bool, int | None]:
-        """(next spec, taken, flagged, gap that counts the section)."""
-        specs, n = self.specs, len(self.specs)
-        while at < n:
-            here = specs[at]
-            later = next((k for k in symbol if k > at), None)
-            if isinstance(here, Gap):
-                if later is None:
-                    return at, False, False, at
-            elif at in symbol:
-                return (at, True, False, None) if here.repeatable else (at + 1, False, False, None)
-            elif later is not None:
-                passed = here.optional or here.repeatable and taken
-                return later + 1, False, not passed, None
-            elif not (here.optional or here.repeatable and taken) and not symbol:
-                return at, taken, not self.level.allow_unknown, None
-            at, taken = at + 1, False
-        tail = n > 0 and isinstance(specs[-1], Gap)
-        if symbol:
-            return n, False, False, None
-        return n, False, not tail and not self.level.allow_unknown, n - 1 if tail else None
+        self.level, specs = level, level.specs
+        n = self.end = len(specs)
+        self.slot, self.gap, self.hold = [n] * (n + 1), [n] * (n + 1), [n] * (n + 1)
+        self.free = [isinstance(x, Slot) and x.optional for x in specs]
+        self.places: dict[str, list[int]] = {}
+        for k, x in reversed([*enumerate(specs)]):
+            space = isinstance(x, Gap)
+            self.slot[k], self.gap[k] = (self.slot[k + 1], k) if space else (k, self.gap[k + 1])
+            self.hold[k] = self.hold[k + 1] if self.free[k] else k
+            for name in () if space else set(x.names):
+                self.places.setdefault(name, []).insert(0, k)
 
     def run(self, names: list[str]) -> Walk:
-        gaps = {k: 0 for k, x in enumerate(self.specs) if isinstance(x, Gap)}
-        flagged, at, taken = [], 0, False
-        for k, name in enumerate(names):
-            at, taken, wrong, counted = self.step(at, taken, self.symbol(name))
-            if wrong:
-                flagged.append(k)
-            if counted is not None:
-                gaps[counted] += 1
+        specs, end = self.level.specs, self.end
+        gaps = {k: 0 for k, x in enumerate(specs) if isinstance(x, Gap)}
+        flagged, at, filled = [], 0, False  # filled: the repeatable slot at ``at`` has a section already
+        for x, name in enumerate(names):
+            own = self.places.get(name, [])
+            to = next((k for k in own if k >= at), None)
+            if to is None:
+                at = self.gap[at] if own else self.hold[at + 1 if filled else at]
+                counted = at if at in gaps else end - 1 if at == end and not own and end - 1 in gaps else None
+                if counted is not None:
+                    gaps[counted] += 1
+                elif not own and not self.level.allow_unknown:
+                    flagged.append(x)
+                filled = False
+            elif self.slot[at] == to:
+                at, filled = (to, True) if specs[to].repeatable else (to + 1, False)
+            else:
+                if not self.free[self.slot[at]] and not (filled and self.slot[at] == at):
+                    flagged.append(x)
+                at, filled = to + 1, False
         return Walk(flagged, gaps)
 
 
@@ -241,10 +236,8 @@ def _content_level(parent: Section, level: Level, inherited: str | None, out: Fi
         s = level.specs[k]
         own = s.description or hint
         for name, leaf in _leaves(s):
-            if isinstance(leaf, MaxWords):
-                _max_words(n, name, leaf, own, out)
-            elif (block := _block(n, name)) is not None and block.kind == leaf.kind:
-                {"table": _table, "list": _list, "code": _code}[leaf.kind](block, leaf, leaf.description or own, out)
+            if (block := _block(n, name)) is not None and block.kind == leaf.kind:
+                {"table": _table, "list": _list, "code": _code, "paragraph": _paragraph}[leaf.kind](block, leaf, leaf.description or own, out)
         if s.children is not None:
             _content_level(n, s.children, own, out)
 
@@ -283,11 +276,10 @@ def _code(b: Block, leaf: Code, hint: str | None, out: Findings) -> None:
         out.add("content/code/lang", f"language {b.lang or '(none)'}, {leaf.lang} is expected", b, hint)
 
 
-def _max_words(n: Section, name: str | None, leaf: MaxWords, hint: str | None, out: Findings) -> None:
-    blocks = [b for b in n.blocks if b.kind == "paragraph" and (name is None or b.anchor == name)]
-    count = sum(len(words(b.text)) for b in blocks)
+def _paragraph(b: Block, leaf: MaxWords, hint: str | None, out: Findings) -> None:
+    count = len(words(b.text))
     if count > leaf.limit:
-        out.add("content/max-words", f"{count} words, at most {leaf.limit} may stand", blocks[0] if name else n, leaf.description or hint)
+        out.add("content/max-words", f"{count} words, at most {leaf.limit} may stand", b, hint)
 
 
 # ---- frontmatter and text ------------------------------------------------------------------------------------

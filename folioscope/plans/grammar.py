@@ -139,7 +139,7 @@ class Code:
 class MaxWords:
     limit: int
     description: str | None = None
-    kind: str = "words"
+    kind: str = "paragraph"
 
 
 Leaf = Table | List | Code | MaxWords

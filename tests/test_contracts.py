@@ -89,7 +89,7 @@ def walk(level, names):
     return flagged, gaps
 
 
-def test_the_transition_table_equals_the_walk():
+def test_the_tables_equal_the_walk():
     r = random.Random(5)
     for _ in range(3000):
         specs = [g.Gap() if r.random() < 0.25 else g.Slot((f"{k}{r.choice('ab')}", *r.sample(["p", "q"], r.randint(0, 1))), optional=r.random() < 0.4, repeatable=r.random() < 0.3) for k in range(r.randint(0, 5))]
@@ -113,7 +113,7 @@ body:
       content: {maxWords: 2}
 """
     source = "## T\n\n| a | c |\n|---|---|\n| y | 1 |\n\n## L\n\n- one\n\n## C\n\n```js\n```\n\n## W\n\none two three\n"
-    assert ids(source, contract(body)) == [("content/table/column-missing", 3), ("content/table/column-extra", 3), ("content/table/min-rows", 3), ("content/table/cell", 5), ("content/list/item-kind", 9), ("content/list/min-items", 9), ("content/code/lang", 13), ("content/max-words", 16)]
+    assert ids(source, contract(body)) == [("content/table/column-missing", 3), ("content/table/column-extra", 3), ("content/table/min-rows", 3), ("content/table/cell", 5), ("content/list/item-kind", 9), ("content/list/min-items", 9), ("content/code/lang", 13), ("content/max-words", 18)]
 
 
 def test_blocks_anchors_and_kinds():
@@ -121,6 +121,18 @@ def test_blocks_anchors_and_kinds():
     assert ids("## A\n## B\n\ntext\n", c) == [("structure/anchor-missing", 1), ("structure/block-missing", 1), ("structure/block-kind", 4)]
 
 
+def test_words_are_those_of_the_first_or_anchored_paragraph():
+    c = contract("body: {sections: [{section: A, content: {maxWords: 4}}]}")
+    assert ids("## A\n\none two three\n\nfour five six\n", c) == []
+    assert ids("## A\n\n- item\n", c) == [("structure/block-kind", 3)]
+    assert ids("## A\n", c) == [("structure/block-missing", 1)]
+    assert ids("text\n\n## A\n\none two three four five\n", c) == [("content/max-words", 5)]
+    anchored = contract("body: {sections: [{section: A, content: {note: {maxWords: 2}}}]}")
+    assert ids("## A\n\none two three\n\nfour five ^note\n", anchored) == []
+    assert ids("## A\n\none two three\n", anchored) == [("structure/block-missing", 1)]
+    assert ids("## A\n\none\n\ntwo three four ^note\n", anchored) == [("content/max-words", 5)]
+
+
 def test_content_binds_the_first_section_of_a_slot_only():
     c = contract("body: {sections: [{section: A, maxContains: 9, content: {maxWords: 1}}]}")
     assert ids("## A\n\none\n\n## A\n\none two\n", c) == []
