@@ -12,12 +12,12 @@ import regex
 
 from .names import utf16
 
+#: What each format's name means.  Digits are [0-9], as \d takes those of other scripts in Python.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _DATE = "(?:(?:[0-9]{2}[2468][048]|[0-9]{2}[13579][26]|[0-9]{2}0[48]|[02468][048]00|[13579][26]00)-02-29|[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8])))"
 _TIME = "(?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\\.[0-9]+)?)?"
 _V4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 
-#: What each format's name means.
 PATTERNS = {
     "email": r"(?!\.)(?!.*\.\.)[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+-]@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
     "url": r"[A-Za-z][A-Za-z0-9+.-]*:(?://)?[^\s/?#][^\s]*",
@@ -26,7 +26,7 @@ PATTERNS = {
     "datetime": rf"{_DATE}T{_TIME}Z",
     "date": _DATE,
     "time": _TIME,
-    "duration": r"P(?:(?:[0-9]+W)|(?!(?![\s\S]))(?=[0-9T])(?:[0-9]+Y)?(?:[0-9]+M)?(?:[0-9]+D)?(?:T(?=[0-9])(?:[0-9]+H)?(?:[0-9]+M)?(?:[0-9]+(?:[.,][0-9]+)?S)?)?)",
+    "duration": r"P(?:(?:[0-9]+W)|(?=[0-9T])(?:[0-9]+Y)?(?:[0-9]+M)?(?:[0-9]+D)?(?:T(?=[0-9])(?:[0-9]+H)?(?:[0-9]+M)?(?:[0-9]+(?:[.,][0-9]+)?S)?)?)",
     "ipv4": _V4,
     "cidrv4": rf"{_V4}/(?:[0-9]|[12][0-9]|3[0-2])",
     "nanoid": r"[a-zA-Z0-9_-]{21}",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from folioscope.functions.columns import drift_kind, plural
+from folioscope.functions.columns import drift_kind, plane_rank, plural
 
 RUNS = "id string, vault_id string, started_at string, finished_at string, trigger string, status string, error_count int, warn_count int, report_count int, error_message string"
 RECORDS = "id string, scan_run_id string, finding_id string, level string, file_path string, line int, col int, message string"
@@ -81,10 +81,10 @@ def drift(findings: DataFrame) -> DataFrame:
 
 
 def record_run(findings: DataFrame, run_id: str, vault_id: str, trigger: str, started_at: str, finished_at: str) -> tuple[DataFrame, DataFrame]:
-    """A run's row, and its findings as records numbered in order."""
-    w = W.orderBy(F.split("path", "/"), F.coalesce("line", F.lit(0)), F.coalesce("col", F.lit(0)), "emitted")
-    records = findings.withColumn("_n", F.row_number().over(w) - 1).select(
-        F.concat(F.lit(f"{run_id}-f"), F.col("_n").cast("string")).alias("id"), F.lit(run_id).alias("scan_run_id"), F.col("id").alias("finding_id"), "level", F.col("path").alias("file_path"), "line", "col", "message")
+    """A run's row, and its findings as records numbered in order: by the sorted rows' partitions, none of which holds all."""
+    ordered = findings.orderBy(F.split("path", "/"), F.coalesce("line", F.lit(0)), F.coalesce("col", F.lit(0)), plane_rank(F.col("id")), "emitted")
+    numbered = ordered.select("id", "level", "path", "line", "col", "message").rdd.zipWithIndex()
+    records = findings.sparkSession.createDataFrame(numbered.map(lambda x: (f"{run_id}-f{x[1]}", run_id, *x[0])), RECORDS)
     c = {x: F.count_if(F.col("level") == x).cast("int") for x in ("error", "warn", "report")}
     run = findings.agg(c["error"].alias("e"), c["warn"].alias("w"), c["report"].alias("r")).select(
         F.lit(run_id).alias("id"), F.lit(vault_id).alias("vault_id"), F.lit(started_at).alias("started_at"), F.lit(finished_at).alias("finished_at"), F.lit(trigger).alias("trigger"),
@@ -110,6 +110,13 @@ def with_live_state(vaults: DataFrame, live: DataFrame, key: str = "vault_id") -
     return vaults.join(live, key, "left").withColumn("state", F.coalesce("state", F.lit("running")))
 
 
+def as_of(events: DataFrame, by: str, ts: str, asks: Column, gives: Column, value: Column, name: str) -> DataFrame:
+    """Of the events that ask, the value of the last one at or before each that gives: one window over both, no range join."""
+    w = W.partitionBy(by).orderBy(ts).rangeBetween(W.unboundedPreceding, 0)
+    last = F.last_value(F.when(gives, value), F.lit(True)).over(w)
+    return events.where(asks | gives).withColumn(name, last).where(asks)
+
+
 def replay(events: DataFrame, after: int, buffer: int = 200) -> DataFrame:
     """Events after an id, of the last ``buffer`` only."""
     return events.orderBy(F.desc("id")).limit(buffer).where(F.col("id") > after).orderBy("id")

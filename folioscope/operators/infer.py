@@ -1,7 +1,7 @@
 """The tightest contract that a corpus satisfies.
 
-Two grouped aggregations over the projection give facts whose number is bounded by distinct keys and headings; the driver
-turns them into a contract.
+Two grouped aggregations over the projection give facts, one for each distinct key and heading, of which the driver takes ``MAX_NAMES`` at
+most and turns them into a contract.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from typing import Any
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from folioscope.functions.columns import ancestor_at, depth_of, matches_format
 from folioscope.functions.names import camel_key, slug
@@ -23,6 +24,8 @@ from folioscope.sources.projection import open_table, project
 #: Formats that are tried, in this order, and the limits of the ladder's rungs.
 FORMATS = ["uuid", "ulid", "datetime", "date", "time", "duration", "email", "url", "ipv4", "cidrv4", "e164"]
 MAX_CONST, MIN_CONST_DOCS, MAX_ENUM = 64, 3, 12
+#: Distinct headings, and keys, of all groups that the driver takes: beyond that a corpus is too free for a contract.
+MAX_NAMES = 2000
 
 
 def field_facts(kv: DataFrame, groups: DataFrame, by: str = "grp") -> DataFrame:
@@ -38,7 +41,10 @@ def field_facts(kv: DataFrame, groups: DataFrame, by: str = "grp") -> DataFrame:
         F.min(F.struct("doc_id", "ord")).alias("first"), F.min_by("value", F.struct("doc_id", "ord")).alias("first_value"), whole(number).alias("all_integer"),
         *[whole(F.col("json_type") == t).alias(f"all_{t}") for t in ("number", "boolean", "string", "array", "object")],
         *[whole(string & matches_format(text, f)).alias(f"is_{f}") for f in FORMATS])
-    values = (top.where(some & string).groupBy(by, "key", "value").agg(F.min(F.struct("doc_id", "ord")).alias("at")).groupBy(by, "key")
+    # the first few values are enough to tell whether there are more: the rest goes before the shuffle
+    few = W.partitionBy(by, "key").orderBy("at")
+    values = (top.where(some & string).groupBy(by, "key", "value").agg(F.min(F.struct("doc_id", "ord")).alias("at"))
+              .withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= MAX_ENUM + 1).groupBy(by, "key")
               .agg(F.when(F.count("*") <= MAX_ENUM, F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])).alias("values")))
     files = groups.groupBy(by).agg(F.count("*").alias("files"))
     return facts.join(values, [by, "key"], "left").join(files, by)
@@ -64,6 +70,19 @@ def precedence(sections: DataFrame, by: str = "grp") -> DataFrame:
     return names.select(by, F.inline(F.array_distinct(pairs))).where("a <> b").distinct()
 
 
+def reversals(pairs: DataFrame, by: str = "grp") -> DataFrame:
+    """Groups in which some heading stands before another and after it."""
+    back = pairs.select(by, F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.join(back, [by, "a", "b"], "left_semi").select(by).distinct()
+
+
+def _taken(facts: DataFrame, what: str) -> list:
+    rows = facts.limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ContractError(f"more than {MAX_NAMES} distinct {what}: no contract holds such a corpus", "infer/too-free")
+    return rows
+
+
 def _schema(f: Any, relax: bool) -> dict:
     out: dict = {}
     some = f.present - f.nulls
@@ -117,8 +136,11 @@ def infer(files: DataFrame, depth: int | None = None, relax: bool = False) -> di
         heads = section_facts(sections).collect()
         strict = {r.grp: r.sequences == 1 for r in sequences(open_table(p, "sections"), groups).collect()}
         counts = {r.grp: r.files for r in groups.groupBy("grp").agg(F.count("*").alias("files")).collect()}
+        pairs = precedence(sections)
+        conflicts = {r.grp for r in reversals(pairs).collect()}
         before = defaultdict(set)
-        for r in precedence(sections).collect():
+        free = [g for g in counts if g not in conflicts]  # in the others headings keep their order of appearance
+        for r in pairs.where(F.col("grp").isin(free)).collect() if free else ():
             before[r.grp].add((r.a, r.b))
     finally:
         p.unpersist()
@@ -130,16 +152,15 @@ def infer(files: DataFrame, depth: int | None = None, relax: bool = False) -> di
             contract["frontmatter"] = {"type": "object", "required": [f.key for f in own if f.present == n], "properties": {f.key: _schema(f, relax) for f in own}} | ({} if relax else {"additionalProperties": False})
         mine = sorted((h for h in heads if h.grp == g), key=lambda h: h["first"])
         if mine:
-            contract["body"] = _body(mine, n, before[g], strict[g], relax)
+            contract["body"] = _body(mine, n, before[g], g in conflicts, strict[g], relax)
         out[g] = contract
     return out
 
 
-def _body(heads: list, n: int, before: set[tuple[str, str]], strict: bool, relax: bool) -> dict:
+def _body(heads: list, n: int, before: set[tuple[str, str]], conflict: bool, strict: bool, relax: bool) -> dict:
     spelled: dict[str, list] = {}
     for h in heads:
         spelled.setdefault(camel_key(h.name) or h.name, []).append(h)
-    conflict = any((b, a) in before for a, b in before)
     order = "none" if relax or conflict else "strict" if strict and not any(h.repeats for h in heads) else "recognized-relative"
     names = [h.name for h in heads]
     nodes = []

@@ -5,14 +5,17 @@ No SQL here looks at a parser's output: each is written against the tables that
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from folioscope import casebook
 from folioscope.functions import columns as c
 from folioscope.operators import findings as fnd
 from folioscope.operators import history, infer, navigate, relational
-from folioscope.operators.validate import read, route, validate
+from folioscope.operators.validate import read, route, validate, validate_corpus
 from folioscope.plans import ddl
 from folioscope.plans.grammar import CorpusConfig, Contract, Route, TextSpec
 from folioscope.plans.sheets import flag_sheets, orders_with_lines, sheets, text
@@ -160,8 +163,8 @@ def text_plane(spark, d):
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber::VARCHAR AS line, l_partkey::VARCHAR AS part, l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL")
 def table_round_trip(spark, d):
-    p = project(sheets(spark, d), tables=("cells",))
-    rows = open_table(p, "cells").groupBy("doc_id", "block_id", "row_idx").pivot("col_name", ["line", "part", "flag", "status"]).agg(F.first("value"))
+    p = project(sheets(spark, d), tables=("blocks", "cells"))
+    rows = navigate.table_view(open_table(p, "blocks"), open_table(p, "cells"), ["line", "part", "flag", "status"], anchor="lines")
     return rows.groupBy("doc_id", "line", "part", "flag", "status").agg(F.count("*").alias("n"))
 
 
@@ -209,11 +212,21 @@ def paragraph_projection(spark, d):
     return blocks.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))).alias("lines"), F.count("*").alias("paragraphs"))
 
 
-@query("""SELECT doc_id, 'content/max-words' AS id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words FROM documents
-WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 400""")
+@query("""WITH w AS (SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS n FROM documents)
+SELECT doc_id, CASE WHEN n = 0 THEN 'structure/block-missing' ELSE 'content/max-words' END AS id, CASE WHEN n = 0 THEN 1 ELSE 3 END AS line FROM w WHERE n = 0 OR n > 400""")
 def max_words(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", c.word_count(F.col("text")).alias("words"))
-    return docs.where("words > 400").select("doc_id", F.lit("content/max-words").alias("id"), "words")
+    """Every document's words as the paragraph of a section that may have 400."""
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+", " "))
+    docs = table(spark, d, "documents").select("doc_id", text("## Body\n\n", words, "\n").alias("source"))
+    return validate(docs, contract("body: {sections: [{section: Body, content: {maxWords: 400}}]}")).select("doc_id", "id", "line")
+
+
+@query()
+def documents_projected(spark, d):
+    """All documents through the parser, with what Markdown is in them: blocks by kind."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("source"))
+    blocks = open_table(project(docs, tables=("blocks",)), "blocks")
+    return blocks.groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"), F.min("line").alias("first_line"))
 
 
 # ---- text rules over whole texts -----------------------------------------------------------------------------
@@ -257,11 +270,13 @@ def routed_pages(spark, d):
 @query("""WITH p AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages),
 m AS (SELECT CASE WHEN regexp_full_match(path, '[^/]*\\.example\\.com/en/.*') AND NOT regexp_full_match(path, '[^/]*\\.example\\.com/en/[^/]*\\.html') THEN 0
 WHEN regexp_full_match(path, '(?:[^/]+/)*[^/]*\\.html') THEN 1 WHEN regexp_full_match(path, '[^/]*\\.example\\.org/.*') THEN 2 END AS rule FROM p)
-SELECT count(*) AS scanned, count(rule) AS matched, count(*) - count(rule) AS unmatched, count(*) FILTER (rule = 0) AS r0, count(*) FILTER (rule = 1) AS r1, count(*) FILTER (rule = 2) AS r2 FROM m""")
+SELECT 'scanned' AS name, count(*) AS files FROM m UNION ALL SELECT 'matched', count(rule) FROM m UNION ALL SELECT 'unmatched', count(*) - count(rule) FROM m
+UNION ALL SELECT x.name, count(m.rule) FROM (VALUES (0, 'com-en'), (1, 'html'), (2, 'org')) x(k, name) LEFT JOIN m ON m.rule = x.k GROUP BY x.name""")
 def run_stats(spark, d):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
-    r = table(spark, d, "pages").select(route(path, ROUTES).alias("rule"))
-    return r.agg(F.count("*").alias("scanned"), F.count("rule").alias("matched"), F.count_if(F.col("rule").isNull()).alias("unmatched"), *[F.count_if(F.col("rule") == k).alias(f"r{k}") for k in range(3)])
+    result = validate_corpus(table(spark, d, "pages").select(path.alias("path"), F.lit("").alias("source")), ROUTES)
+    totals = result.stats().select(F.inline(F.array(*[F.struct(F.lit(x).alias("name"), F.col(f"files_{x}").alias("files")) for x in ("scanned", "matched", "unmatched")])))
+    return totals.unionByName(result.matched_by_rule().select("name", "files"))
 
 
 @query("""WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(p_name, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w, p_name FROM part)
@@ -270,19 +285,26 @@ def names_of_parts(spark, d):
     return table(spark, d, "part").select("p_partkey", c.camel_key(F.col("p_name")).alias("camel"), c.slug(F.col("p_name")).alias("slug"))
 
 
-@query("""SELECT 'uuid' AS format, count(*) FILTER (regexp_full_match(c_name, '[0-9a-f]{8}-.*')) AS hits FROM customer
-UNION ALL SELECT 'date', count(*) FROM orders UNION ALL SELECT 'integer', count(*) FILTER (o_orderkey % 2 = 0) FROM orders UNION ALL SELECT 'url', count(*) FROM pages
-UNION ALL SELECT 'email', count(*) FROM customer UNION ALL SELECT 'ipv4', count(*) FILTER (o_orderkey % 300 <= 255) FROM orders UNION ALL SELECT 'time', count(*) FILTER (o_orderkey % 30 < 24) FROM orders UNION ALL SELECT 'e164', count(*) FILTER (length(o_orderkey::VARCHAR) BETWEEN 4 AND 12) FROM orders""")
+#: By format: a text that has it, made of the order's key, and one that has not.
+FORMATTED = {
+    "email": ("a%s@example.com", "a%s@example"), "url": ("https://example.com/%s", "//example.com/%s"), "uuid": ("00000000-0000-4000-8000-%012s", "00000000-0000-4000-c000-%012s"),
+    "hostname": ("h%s.example.com", "h%s-.example"), "datetime": ("2024-02-29T10:00:00.%sZ", "2023-02-29T10:00:00.%sZ"), "date": ("2024-02-29", "2024-02-30"), "time": ("10:30:00.%s", "24:30:00.%s"),
+    "duration": ("P%sDT2H", "P%s"), "ipv4": ("10.0.0.1", "10.0.0.%s00000"), "cidrv4": ("10.0.0.0/8", "10.0.0.0/%s00"), "nanoid": ("%021s", "%020s"), "cuid": ("c%012s", "k%012s"), "cuid2": ("a%s", "A%s"),
+    "ulid": ("%026s", "U%025s"), "base64": ("%08s", "%07s"), "e164": ("+1%010s", "+0%010s")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS format, count(*) FILTER (o_orderkey % 3 <> 1) AS hits FROM orders" for name in FORMATTED))
 def format_checks(spark, d):
-    o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    cust = table(spark, d, "customer")
-    checks: list[tuple[str, DataFrame, Column]] = [
-        ("uuid", cust, F.col("c_name")), ("date", o, F.date_format("o_orderdate", "yyyy-MM-dd")), ("url", table(spark, d, "pages"), F.col("url")),
-        ("email", cust, text("c", F.col("c_custkey"), "@example.com")), ("ipv4", o, text("10.0.0.", k % 300)), ("time", o, text(F.lpad((k % 30).cast("string"), 2, "0"), ":30")), ("e164", o, text("+123", k))]
-    out = o.agg(F.count_if((k % 2) == 0).alias("hits")).select(F.lit("integer").alias("format"), "hits")
-    for name, df, value in checks:
-        out = out.unionByName(df.agg(F.count_if(c.matches_format(value, name)).alias("hits")).select(F.lit(name).alias("format"), "hits"))
-    return out
+    """Two thirds of the orders' texts have the format, the others are near it."""
+    k = F.col("o_orderkey")
+
+    def made(shape: str) -> Column:
+        head, mark, tail = re.match(r"(.*?)(%0?\d*s|$)(.*)", shape).groups()
+        return text(head, F.lpad(k.cast("string"), int(mark[2:-1]), "0") if mark[1:2] == "0" else k, tail) if mark else F.lit(shape)
+
+    checks = [F.count_if(c.matches_format(F.when(k % 3 != 1, made(good)).otherwise(made(bad)), name)).alias(name) for name, (good, bad) in FORMATTED.items()]
+    counts = table(spark, d, "orders").agg(*checks)
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("format"), F.col(name).alias("hits")) for name in FORMATTED])))
 
 
 @query("""SELECT page_id, len(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'))::INT - 1 AS depth, CASE WHEN strpos(regexp_replace(url, '^[a-z]+://', ''), '/') > 0 THEN regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/[^/]*$', '') ELSE '' END AS dir,
@@ -352,10 +374,8 @@ def debounced_events(spark, d):
 
 @query("""SELECT a.event_id, b.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') b ON a.user_id = b.user_id AND a.ts >= b.ts""")
 def as_of_event(spark, d):
-    e = table(spark, d, "events").where(F.col("event_type").isin("purchase", "click"))
-    w = W.partitionBy("user_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    last = F.last_value(F.when(F.col("event_type") == "click", F.col("event_id")), F.lit(True)).over(w)
-    return e.withColumn("click_id", last).where("event_type = 'purchase'").select("event_id", "click_id")
+    kind = F.col("event_type")
+    return history.as_of(table(spark, d, "events"), "user_id", "ts", kind == "purchase", kind == "click", F.col("event_id"), "click_id").select("event_id", "click_id")
 
 
 @query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'order') THEN 'order-changed' WHEN regexp_matches(lower(p_type), 'unknown|unexpected|extra') THEN CASE WHEN contains(lower(p_type), 'section') THEN 'section-added' ELSE 'field-added' END
@@ -466,7 +486,7 @@ def structure_over_tables(spark, d):
 @query("SELECT l_orderkey AS doc_id, 'content/table/cell' AS id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey")
 def content_over_tables(spark, d):
     """The content plane as joins and filters over the block and cell tables."""
-    p = project(sheets(spark, d), tables=("sections", "blocks", "cells", "items")).persist()
+    p = project(sheets(spark, d), tables=("sections", "blocks", "cells", "items"))
     t = {k: open_table(p, k) for k in ("sections", "blocks", "cells", "items")}
     return by_document(relational.content(t["sections"], t["blocks"], t["cells"], t["items"], contract(CELLS).body.slots[0]))
 
@@ -507,3 +527,7 @@ def findings_in_order(spark, d):
 def relevant_files(spark, d):
     path = F.regexp_replace(F.regexp_replace("url", r"\.html$", ".md"), "/en/", "/.en/")
     return table(spark, d, "pages").select("page_id", c.relevant_change(path).alias("relevant"))
+
+
+QUERIES |= casebook.QUERIES
+ORACLES |= casebook.ORACLES

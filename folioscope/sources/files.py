@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,19 +73,39 @@ def resolve_inside(root: str, path: str) -> str:
     return full
 
 
+POINTER = "_current"
+
+
 def save_table(df: DataFrame, path: str) -> None:
-    """Replace a small table: it is written beside its place and moved there, so readers meet the old rows or the new."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    """Replace a small table: its rows are written to a folder of their own, and then a pointer is moved there at once.
+
+    Readers meet the old rows or the new, whenever they come and wherever this breaks off; the version before stays for those that
+    have begun to read it.
+    """
+    spark, name = df.sparkSession, f"v-{time.time_ns():020d}"
+    df.write.parquet(f"{path}/{name}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda x: jvm.org.apache.hadoop.fs.Path(f"{path}/{x}")
+    fs = at(name).getFileSystem(conf)
+    out = fs.create(at(f".{name}"), True)
+    out.write(name.encode())
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(at(f".{name}"), at(POINTER), options)
+    versions = sorted(x.getPath().getName() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if x.getPath().getName().startswith("v-"))
+    for old in versions[: max(0, versions.index(name) - 1)]:
+        fs.delete(at(old), True)
 
 
 def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A small table, or an empty one if it is not there yet."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    into = fs.open(at)
+    name = bytes(into.readAllBytes()).decode()
+    into.close()
+    return spark.read.schema(schema).parquet(f"{path}/{name}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
@@ -32,13 +33,19 @@ def debounced(events: DataFrame, by: str = "vault_id", quiet: str = QUIET, late:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("_w"), by).agg(F.count("*").alias("events")).select(by, F.col("_w.end").alias("fire_ts"), "events")
 
 
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
 def validate_stream(files: DataFrame, config: CorpusConfig, sink: Callable[[DataFrame, DataFrame], None], checkpoint: str, vault: str = "vault", available_now: bool = True) -> StreamingQuery:
     """Each micro-batch is one run: ``sink`` gets its row and its records, once for each batch id."""
 
     def batch(df: DataFrame, number: int) -> None:
+        began = _now()
         found = validate_corpus(df, config).findings.persist()
         try:
-            sink(*record_run(found, f"{vault}-{number}", vault, "watch", "", ""))
+            found.count()
+            sink(*record_run(found, f"{vault}-{number:012d}", vault, "watch", began, _now()))  # ids sort as their numbers do
         finally:
             found.unpersist()
 
