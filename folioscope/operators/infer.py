@@ -11,7 +11,7 @@ from collections import defaultdict
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -124,10 +124,27 @@ def _order(names: list[str], before: set[tuple[str, str]]) -> list[str]:
     return out
 
 
+def _group(depth: int | None) -> Column:
+    return F.lit("") if depth is None else F.coalesce(ancestor_at(F.col("path"), depth), F.when(depth_of(F.col("path")) == 0, F.lit("")))
+
+
+def stranded(files: DataFrame, depth: int) -> DataFrame:
+    """Markdown files that ``infer`` leaves out, for they lie in folders above ``depth``: a warning for each."""
+    left = files.where(F.col("path").endswith(".md") & _group(depth).isNull())
+    return left.select("path", F.lit("infer/stranded").alias("id"), F.concat(F.lit("it lies above depth "), F.lit(str(depth))).alias("message"))
+
+
+def alias_merges(sections: DataFrame, by: str = "grp") -> DataFrame:
+    """Headings of one group that share a key, and so become one section with aliases: a warning for each key."""
+    from folioscope.functions.columns import camel_key as key_of
+
+    heads = section_facts(sections, by).withColumn("key", key_of(F.col("name"))).where("key <> ''")
+    return heads.groupBy(by, "key").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
+
+
 def infer(files: DataFrame, depth: int | None = None, relax: bool = False) -> dict[str, dict]:
     """A contract, as plain data, for each group of (path, source): by folder at ``depth``, or one for all ("")."""
-    group = F.lit("") if depth is None else F.coalesce(ancestor_at(F.col("path"), depth), F.when(depth_of(F.col("path")) == 0, F.lit("")))
-    docs = files.where(F.col("path").endswith(".md")).withColumn("grp", group).where("grp IS NOT NULL").withColumnRenamed("path", "doc_id")
+    docs = files.where(F.col("path").endswith(".md")).withColumn("grp", _group(depth)).where("grp IS NOT NULL").withColumnRenamed("path", "doc_id")
     p = project(docs.select("doc_id", "source"), tables=("sections", "frontmatter_kv")).persist()
     try:
         groups = docs.select("doc_id", "grp")

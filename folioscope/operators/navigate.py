@@ -84,6 +84,20 @@ def table_view(blocks: DataFrame, cells: DataFrame, columns: list[str], section_
     return rows.groupBy(key, "block_id", "row_idx").agg(*[F.coalesce(F.min_by("value", F.when(F.col("col_name") == c, F.col("col_idx"))), F.lit("")).alias(c) for c in columns])
 
 
+def rows_of_records(blocks: DataFrame, cells: DataFrame, records: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+    """For each record (key and columns) the first table row of its document with the same content: block, row and line."""
+    rows = table_view(blocks, cells, columns, key=key).join(cells.groupBy(key, "block_id", "row_idx").agg(F.min("line").alias("line")), [key, "block_id", "row_idx"])
+    found = records.join(rows, [key, *columns])
+    return found.groupBy(key, *columns).agg(F.min(F.struct("block_id", "row_idx", "line")).alias("_r")).select(key, *columns, "_r.*")
+
+
+def promoted_tables(sections: DataFrame, blocks: DataFrame, slots: dict[str, list[str]], key: str = "doc_id") -> DataFrame:
+    """Of slots (key: names) whose only leaf is a table: the table of a section that has exactly one, under the slot's key."""
+    first = section_groups(sections, slots, key).where("is_declared AND occurrence = 1").select(key, "section_id", "slot")
+    tables = blocks.where("kind = 'table'").join(first, [key, "section_id"])
+    return tables.groupBy(key, "slot").agg(F.count("*").alias("_n"), F.min_by(F.struct("block_id", "line"), "block_id").alias("_t")).where("_n = 1").select(key, "slot", "_t.*")
+
+
 def list_view(blocks: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
     return items.join(blocks.where("kind = 'list'").select(key, "block_id", "section_id", "anchor"), [key, "block_id"])
 

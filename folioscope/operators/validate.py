@@ -85,11 +85,12 @@ class CorpusResult:
         return 1 if self.findings.where("level = 'error'").limit(1).count() else 0
 
 
-def validate_corpus(files: DataFrame, config: CorpusConfig) -> CorpusResult:
-    """Findings of (path, source) under the first rule that takes each file."""
+def validate_corpus(files: DataFrame, config: CorpusConfig, key: str = "path") -> CorpusResult:
+    """Findings of (path, source) under the first rule that takes each file; ``key``: the column that findings carry."""
     routed = files.withColumn("rule", route(F.col("path"), config))
     contracts = tuple(r.contract for r in config.routes)
-    findings = routed.where("rule IS NOT NULL").select("path", "source", "rule").mapInArrow(_run(contracts, "path"), ", ".join(FINDINGS))
+    schema = ", ".join([f"`{key}` {files.schema[key].dataType.simpleString()}", *FINDINGS[1:]])
+    findings = routed.where("rule IS NOT NULL").select(key, "source", "rule").mapInArrow(_run(contracts, key), schema)
     return CorpusResult(findings, routed.select("path", "rule"), config)
 
 

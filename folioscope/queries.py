@@ -19,8 +19,10 @@ from folioscope.operators.validate import read, route, validate, validate_corpus
 from folioscope.plans import ddl
 from folioscope.plans.grammar import CorpusConfig, Contract, Route, TextSpec
 from folioscope.plans.sheets import flag_sheets, orders_with_lines, sheets, text
+from folioscope.sources import files
 from folioscope.sources.files import merge_first, upsert
 from folioscope.sources.projection import open_table, project
+from folioscope.streaming import schedule
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -423,6 +425,62 @@ def merged_files(spark, d):
     return merge_first(a, b)
 
 
+@query("""SELECT c_custkey, s || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug_id FROM (SELECT c_custkey, lower(c_mktsegment) AS s, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer)""")
+def numbered_slugs(spark, d):
+    return files.numbered_slugs(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", c.slug(F.col("c_mktsegment"))).select("c_custkey", "slug_id")
+
+
+@query("""SELECT coalesce(c_custkey, s_suppkey) AS id, CASE WHEN c_custkey % 10 = 0 THEN 'deleted' WHEN c_custkey IS NULL THEN 'created' ELSE 'updated' END AS change
+FROM customer FULL JOIN supplier ON c_custkey = s_suppkey + 1400 WHERE c_custkey % 10 = 0 OR s_suppkey IS NOT NULL""".replace("s_suppkey) AS id", "s_suppkey + 1400) AS id"))
+def entity_changes(spark, d):
+    cur = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    patch = table(spark, d, "supplier").select((F.col("s_suppkey") + 1400).alias("id"), F.col("s_name").alias("name"))
+    return files.changes(cur, patch, delete=cur.where("id % 10 = 0"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN ts < date_trunc('day', ts) + INTERVAL '6:30' HOUR TO MINUTE THEN date_trunc('day', ts) + INTERVAL '6:30' HOUR TO MINUTE ELSE date_trunc('day', ts) + INTERVAL 1 DAY + INTERVAL '6:30' HOUR TO MINUTE END
+WHEN 1 THEN time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE END AS next_run FROM events""".replace("INTERVAL '6:30' HOUR TO MINUTE", "INTERVAL 390 MINUTE"))
+def scheduled_runs(spark, d):
+    """The next time of a daily schedule, of one each quarter of an hour, and of one that is not valid."""
+    at = F.get(F.array(F.lit("30 6 * * *"), F.lit("*/15 * * * *"), F.lit("61 * * * *")), (F.col("event_id") % 3).cast("int"))
+    return schedule.next_runs(table(spark, d, "events").select("event_id", "ts", at.alias("schedule")), F.col("ts")).select("event_id", "next_run")
+
+
+@query("""SELECT o_orderpriority AS vault_id, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 = 0)::INT AS error_count, 0 AS warn_count, 0 AS report_count,
+CASE WHEN count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 = 0) > 0 THEN 'findings' ELSE 'green' END AS status FROM orders GROUP BY o_orderpriority""")
+def swept_vaults(spark, d):
+    """One batch over vaults, of whose files one in two has a rule."""
+    front = "frontmatter: {type: object, properties: {status: {enum: [F, O]}}}"
+    docs = sheets(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("vault_id")), "doc_id")
+    paths = docs.select("vault_id", text(F.when(F.col("doc_id") % 2 == 0, "in/").otherwise("out/"), F.col("doc_id"), ".md").alias("path"), "source")
+    return schedule.sweep(paths, CorpusConfig((Route(("in/*.md",), contract(front=front), (), "in"),)))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS k FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+z AS (SELECT l_orderkey, max(k) AS k FROM r GROUP BY l_orderkey), t AS (SELECT r.* FROM r JOIN z USING (l_orderkey, k))
+SELECT t.l_orderkey AS doc_id, (15 + min(r.k))::INT AS line FROM t JOIN r ON r.l_orderkey = t.l_orderkey AND r.l_linenumber = t.l_linenumber AND r.l_partkey = t.l_partkey AND r.l_returnflag = t.l_returnflag AND r.l_linestatus = t.l_linestatus GROUP BY t.l_orderkey""")
+def rows_of_records(spark, d):
+    """The first row of each sheet that holds what its last line does."""
+    last = orders_with_lines(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.try_element_at("lines", F.lit(-1)).alias("x")).where("x IS NOT NULL")
+    records = last.select("doc_id", *[F.col(f"x.{a}").cast("string").alias(b) for a, b in (("l_linenumber", "nr"), ("l_partkey", "part"), ("l_returnflag", "flag"), ("l_linestatus", "status"))])
+    p = project(sheets(spark, d), tables=("blocks", "cells"))
+    cells = open_table(p, "cells").withColumn("col_name", F.regexp_replace("col_name", "^line$", "nr"))
+    return navigate.rows_of_records(open_table(p, "blocks"), cells, records, ["nr", "part", "flag", "status"]).select("doc_id", "line")
+
+
+@query("SELECT o_orderkey AS doc_id, 'lines' AS slot, 14 AS line FROM orders")
+def promoted_tables(spark, d):
+    p = project(sheets(spark, d), tables=("sections", "blocks"))
+    return navigate.promoted_tables(open_table(p, "sections"), open_table(p, "blocks"), {"lines": ["Lines"], "summary": ["Summary"]}).select("doc_id", "slot", "line")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '\\.html$', '.md') AS path FROM pages) SELECT page_id FROM p WHERE ends_with(path, '.md') AND len(string_split(path, '/')) BETWEEN 2 AND 3""")
+def stranded_files(spark, d):
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"\.html$", ".md")
+    pages = table(spark, d, "pages").select("page_id", path.alias("path"))
+    return pages.join(infer.stranded(pages, 3).select("path").distinct(), "path").select("page_id")
+
+
 # ---- reports -------------------------------------------------------------------------------------------------
 
 
@@ -436,8 +494,7 @@ def report_lines(spark, d):
 @query("""SELECT l_orderkey AS doc_id, count(*) AS n, min(k)::INT AS first_line, max(k)::INT AS last_line FROM (SELECT l_orderkey, l_returnflag, 13 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) + 2 AS k FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) WHERE l_returnflag = 'R' GROUP BY l_orderkey""")
 def findings_by_file(spark, d):
     found = validate(sheets(spark, d), contract(CELLS)).withColumn("path", F.col("doc_id").cast("string"))
-    files = fnd.by_file(found)
-    return files.select(F.col("path").cast("long").alias("doc_id"), F.size("findings").cast("long").alias("n"), F.element_at("findings", 1)["line"].alias("first_line"), F.element_at("findings", -1)["line"].alias("last_line"))
+    return fnd.by_file(found).select(F.col("path").cast("long").alias("doc_id"), F.size("findings").cast("long").alias("n"), F.element_at("findings", 1)["line"].alias("first_line"), F.element_at("findings", -1)["line"].alias("last_line"))
 
 
 # ---- inference -----------------------------------------------------------------------------------------------

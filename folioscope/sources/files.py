@@ -7,6 +7,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from folioscope.functions.columns import any_glob
 
@@ -56,6 +57,22 @@ def upsert(current: DataFrame, patch: DataFrame, key: str = "id", delete: DataFr
     return out if delete is None else out.join(delete.select(key).distinct(), key, "left_anti")
 
 
+def changes(current: DataFrame, patch: DataFrame, key: str = "id", delete: DataFrame | None = None) -> DataFrame:
+    """What ``upsert`` does to each key: created, updated or deleted; a key that is patched and deleted counts as deleted if it was there."""
+    known, new = current.select(key, F.lit(True).alias("_known")), patch.select(key, F.lit(True).alias("_new")).distinct()
+    gone = (current.select(key).limit(0) if delete is None else delete.select(key)).distinct().withColumn("_gone", F.lit(True))
+    both = known.join(new, key, "full_outer").join(gone, key, "left")
+    kind = F.when(F.col("_gone") & F.col("_known"), "deleted").when(F.col("_gone"), None).when(F.col("_known").isNull(), "created").when(F.col("_new"), "updated")
+    return both.select(key, kind.alias("change")).where("change IS NOT NULL")
+
+
+def numbered_slugs(df: DataFrame, name: str, order: str, slug_of: Column) -> DataFrame:
+    """Rows with ``slug_id``: the slug of the name, and -2, -3 and so on for later rows (by ``order``) with the same one."""
+    n = F.row_number().over(W.partitionBy("_slug").orderBy(order))
+    out = df.withColumn("_slug", slug_of).withColumn("_n", n)
+    return out.withColumn("slug_id", F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), F.col("_n").cast("string")))).drop("_slug", "_n")
+
+
 def external_findings(spark: SparkSession, path: str) -> DataFrame:
     """Findings that another engine wrote as a JSON array."""
     from folioscope.operators.validate import FINDINGS
