@@ -222,6 +222,15 @@ def test_a_crowd_is_stood_for_by_few():
     assert {i for _, i in met([batch.slice(0, 2000), batch.slice(1990, 1010)])} == set(ids.tolist())
 
 
+def test_the_filter_of_wanted_lines_loses_none(spark):
+    r = np.random.default_rng(6)
+    ids = r.integers(-(2**63), 2**63 - 1, 3000)
+    words = lines._filter(spark.createDataFrame([(int(x),) for x in ids[:1500]], "id long"))
+    got = lines.passes(words, ids.view(np.uint64))
+    assert got[:1500].all() and got[1500:].mean() < 0.05
+    assert not lines.passes(lines._filter(spark.createDataFrame([], "id long")), ids.view(np.uint64)).any()
+
+
 def test_large_clusters_are_compared_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK", 8)
     r = random.Random(5)
