@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -44,9 +45,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders that this program has written.
+_written: list[str] = []
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean() -> None:
+    """Delete what ``written`` has left, if there is a session still; tables that read it are gone with it."""
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _written:
+        drop(spark, _written.pop())
+
+
+atexit.register(clean)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, for larger tables: compressed columns in a folder of the shared one, which goes with it."""
+    """Like ``cut``, for larger tables: compressed columns in a folder of the shared one, until the program ends or ``clean``."""
     path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -491,6 +491,33 @@ def test_pipeline(spark, sf_dir):
     assert len(out) == kept[-1] and all(r.round_trip for r in out)
 
 
+def odd_documents(spark):
+    text = "the people of the town came to see the old house by the river in the winter"
+    rows = [(1, text, "en"), (1, text, "en"), (None, "null id " + text, "en"), (2, None, "en"), (3, "", None), (4, "12 34 +", "en"), (5, text + " and\n" + text, "en"), (6, "x" * 20_000, "en"), (7, text + " again", "fr")]
+    return spark.createDataFrame([(*r, len(r[1] or ""), "own", 0) for r in rows], "doc_id long, text string, lang string, n_chars long, first string, score int")
+
+
+@pytest.mark.parametrize("empty_table", [False, True])
+def test_stages_take_nulls_repeats_and_empty_tables(spark, sf_dir, empty_table):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    docs = docs.limit(0) if empty_table else docs
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        kept.append(sorted((r.doc_id or 0) for r in out.collect()))
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    if empty_table:
+        assert kept == [[]] * 4 and last == []
+    else:
+        assert kept[0] == [0, 1, 1, 5, 6, 7]  # without a letter or a text they go
+        assert kept[1][:2] == [0, 2] and set(kept[1]) >= {2, 3, 4, 6}  # all others repeat a line of the first
+        assert kept[3] == sorted((r.doc_id or 0) for r in docs.collect()) and len(last) == 9 and all(r.round_trip for r in last)
+        assert {2, 3, 4} <= set(kept[2])
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] in ("op1", "op3", "op4", "op6", "op9", "op10")])
 def test_every_document_has_its_row(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
