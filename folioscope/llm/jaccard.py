@@ -234,10 +234,6 @@ def _blocks(percent: int):
     return run
 
 
-#: Types of doc_id whose size is known, so that a count of rows bounds their bytes.
-FIXED = ("bigint", "int", "smallint", "tinyint", "date", "timestamp", "double", "float", "boolean")
-
-
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """A forest (a, b) with the same components as all links between the classes (id, n, and doc_id and v of a row of each) of docs (doc_id, v, text)."""
     d = F.expr(f"n - cast(ceil(n * {percent} / 100.0) as long)")
@@ -248,7 +244,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
             .where("s1 = _m").groupBy(F.col("s1").alias("id")).agg(F.count("*").alias("lone")))
     left = cut(classes.where("n > 0").withColumn("d", d).join(lone, "id", "left").where(F.least(F.col("n"), 2 * F.col("d") + 1) - F.coalesce("lone", F.lit(0)) >= least).select("id", "n", "d", "doc_id", "v"))
     rows = left.select(F.col("doc_id").alias("_d"), F.col("v").alias("_v"))
-    texts = docs.join(small(rows) if docs.schema["doc_id"].dataType.simpleString() in FIXED else rows, docs.doc_id.eqNullSafe(F.col("_d")) & (docs.v == F.col("_v")), "left_semi")
+    texts = docs.join(small(rows), docs.doc_id.eqNullSafe(F.col("_d")) & (docs.v == F.col("_v")), "left_semi")
     full_sets = written(texts.select("text").mapInArrow(_full(width), "id long, own array<long>"))
     left = left.select("id", "n", "d")
     tokens = full_sets.join(small(left.select("id", "d")), "id").select("id", F.explode(F.expr("slice(own, 1, cast(2 * d + 1 as int))")).alias("t"))

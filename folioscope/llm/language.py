@@ -33,6 +33,8 @@ ORDERS = (5, 4, 3, 2, 1)
 #: Words seen fewer times are left to the n-grams.
 MIN_COUNT = 2
 SMOOTH = 0.5
+#: Words whose n-grams the driver counts at a time.
+WORDS_AT_ONCE = 20_000
 
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[0x41:0x5B] = NOT_LETTER[0x61:0x7B] = NOT_LETTER[0x80:] = False
@@ -92,16 +94,31 @@ class LanguageModel:
         known = table.sum(1) >= MIN_COUNT
         hashed = letters(words).hash
         order = np.argsort(hashed[known])
-        gram = {}
-        points, rest = _grams(words.to_pylist())
-        owner = np.cumsum(points == 1) - 1  # each word is opened by a 1
-        for n in ORDERS:
-            ok = np.flatnonzero(rest >= n)
-            keys, inverse = np.unique(windows(points, n)[ok], return_inverse=True)
-            sums = np.stack([np.bincount(inverse, table[owner[ok], k], len(keys)) for k in range(len(languages))], 1)
-            gram[n] = keys, LanguageModel.log_frequency(sums)
+        gram = {n: LanguageModel._count(words, table, n) for n in ORDERS}
         return LanguageModel(languages, hashed[known][order], LanguageModel.log_frequency(table)[known][order], gram)
 
+    @staticmethod
+    def _count(words: pa.Array, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words' n-grams, and their log frequency by language; some words at a time, for the driver's memory is small.
+
+        Longer n-grams that stand once in all tell nothing, and are left to the shorter ones.
+        """
+        keys, sums = np.zeros(0, U64), np.zeros((0, table.shape[1]), np.float32)
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            points, rest = _grams(words.slice(a, WORDS_AT_ONCE).to_pylist())
+            owner = a + np.cumsum(points == 1) - 1  # each word is opened by a 1
+            ok = np.flatnonzero(rest >= n)
+            new, inverse = np.unique(windows(points, n)[ok], return_inverse=True)
+            found = np.stack([np.bincount(inverse, table[owner[ok], k], len(new)).astype(np.float32) for k in range(table.shape[1])], 1)
+            both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            total = np.zeros((len(both), table.shape[1]), np.float32)
+            total[place[: len(keys)]] += sums
+            total[place[len(keys) :]] += found
+            keys, sums = both, total
+        if n > 2 and (many := sums.sum(1) >= MIN_COUNT).any():
+            keys, sums = keys[many], sums[many]
+        return keys, LanguageModel.log_frequency(sums)
+
     @staticmethod
     def log_frequency(table: np.ndarray) -> np.ndarray:
         return np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * max(1, len(table)))).astype(np.float32)
