@@ -149,8 +149,8 @@ def infer(files: DataFrame, depth: int | None = None, relax: bool = False) -> di
     try:
         groups = docs.select("doc_id", "grp")
         sections = open_table(p, "sections").join(groups, "doc_id")
-        fields = field_facts(open_table(p, "frontmatter_kv").join(groups, "doc_id"), groups).collect()
-        heads = section_facts(sections).collect()
+        fields = _taken(field_facts(open_table(p, "frontmatter_kv").join(groups, "doc_id"), groups), "frontmatter keys")
+        heads = _taken(section_facts(sections), "headings")
         strict = {r.grp: r.sequences == 1 for r in sequences(open_table(p, "sections"), groups).collect()}
         counts = {r.grp: r.files for r in groups.groupBy("grp").agg(F.count("*").alias("files")).collect()}
         pairs = precedence(sections)
