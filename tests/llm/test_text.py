@@ -80,6 +80,14 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.contained(empty, benchmark).count() == 0 and decontamination.contained(docs, benchmark.limit(0)).count() == 0
 
 
+def test_very_long_urls(spark):
+    long = "x" * 200_000
+    cases = {"http://a.com/" + long: "com/", "http://" + "a." * 400 + "net/es/" + long: "net/es/", "http://" + long + "?q": None, long: None}
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = urls.filter_urls(pages, urls.RULES, urls.spelled_twice(pages)).orderBy("page_id").collect()
+    assert [r.rule for r in got] == list(cases.values()) and [len(r.path) for r in got] == [200_001, 200_004, 0, 0]
+
+
 # ---- licenses ------------------------------------------------------------------------------------------------
 
 
@@ -369,6 +377,14 @@ def test_quality(docs, rows, empty):
     assert quality.measure(empty, v).count() == 0
 
 
+def test_long_unspaced_texts_are_measured(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60_000)), "".join(r.choice("日本語文字化水火木金土") for _ in range(20_000)), "a" * 50_000]
+    got = quality.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pieces.Vocabulary.load(pieces.MODEL)).orderBy("doc_id").collect()
+    assert [(x.n_words, x.word_chars, x.base_failed, x.script) for x in got] == [(1, 60_000, True, "latin"), (1, 20_000, True, "cjk"), (1, 50_000, True, "latin")]
+    assert all(x.n_tokens > 0 and abs(x.chars_per_token * x.n_tokens - x.word_chars) < 1 for x in got)
+
+
 def test_bands_reject_what_tokenises_badly(spark):
     prose = "The people of the town came to see the old house by the river and talked about what they had seen there in the winter before."
     junk = " ".join("".join(chr(0x13000 + (k * 7 + j) % 900) for j in range(6)) for k in range(30))
