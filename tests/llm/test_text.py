@@ -454,6 +454,56 @@ def test_language(spark):
     assert {r.doc_id for r in language.keep_identified(odd, model).collect()} == {4, 5, 6}
 
 
+def plain_language(rows, texts):
+    """The same model and scores, word by word."""
+    counts = defaultdict(Counter)
+    for t, lang in {(t, lang) for _, t, lang in rows}:
+        for w in t.split():
+            counts[w][lang] += 1
+    langs = sorted({lang for *_, lang in rows})
+
+    def logs(table):
+        total = {x: sum(c[x] for c in table.values()) for x in langs}
+        return {k: [math.log((c[x] + 0.5) / (total[x] + 0.5 * max(1, len(table)))) for x in langs] for k, c in table.items()}
+
+    known = {w: v for w, v in logs(counts).items() if sum(counts[w].values()) >= 2}
+    grams = {}
+    for n in range(1, 6):
+        table = defaultdict(Counter)
+        for w, c in counts.items():
+            edged = f"<{w}>"
+            for k in range(len(edged) - n + 1):
+                for x in langs:
+                    table[edged[k : k + n]][x] += c[x]
+        often = {k: c for k, c in table.items() if sum(c.values()) >= 2}
+        grams[n] = logs(often if n > 2 and often else table)
+    out = []
+    for t in texts:
+        total, words = [0.0] * len(langs), t.split()
+        for w in words:
+            if w in known:
+                mine = known[w]
+            else:
+                edged, mine = f"<{w}>", [0.0] * len(langs)
+                for k in range(len(edged)):
+                    found = next((grams[n][edged[k : k + n]] for n in range(5, 0, -1) if k + n <= len(edged) and edged[k : k + n] in grams[n]), [0.0] * len(langs))
+                    mine = [a + b / len(edged) for a, b in zip(mine, found, strict=True)]
+            total = [a + b for a, b in zip(total, mine, strict=True)]
+        mean = [x / len(words) for x in total]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        out.append((langs[best], 1 / sum(math.exp(x - mean[best]) for x in mean)))
+    return out
+
+
+def test_language_equals_the_plain_model(spark):
+    rows, docs = labelled(spark, 5, 60)
+    r = random.Random(6)
+    texts = [" ".join(r.choice([*WORDS[r.choice(list(WORDS))].split(), "nouveau", "gewesen", "something", "zzz"]) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    got = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), language.fit(docs)).orderBy("doc_id").collect()
+    for x, (lang, score) in zip(got, plain_language(rows, texts), strict=True):
+        assert abs(x.score - score) < 1e-3 and (x.lang_pred == lang or abs(score - 0.5) < 1e-3 or score < 0.34), (texts[x.doc_id], x, lang, score)
+
+
 def test_the_score_tells_clear_texts_from_mixed_ones(spark):
     _, docs = labelled(spark, 3)
     en, fr = WORDS["en"].split(), WORDS["fr"].split()
