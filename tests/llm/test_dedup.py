@@ -119,7 +119,11 @@ def test_lines(spark, empty):
     rows = line_rows()
     out = lines.dedup(spark.createDataFrame(rows, SCHEMA))
     assert out.columns[:-2] == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
-    assert {r.doc_id: (r._n_lines, r._n_removed, r.text) for r in out.collect()} == near_lines(rows)
+    got, want = {r.doc_id: (r._n_lines, r._n_removed, r.text) for r in out.collect()}, near_lines(rows)
+    # keys miss a pair by chance now and then: then a line stays that could go, and nothing else changes
+    assert got.keys() == want.keys() and all(got[k][0] == n and got[k][1] <= gone for k, (n, gone, _) in want.items())
+    assert sum(x[1] for x in got.values()) >= 0.95 * sum(x[1] for x in want.values())
+    assert all(got[k][2] == text for k, (_, gone, text) in want.items() if got[k][1] == gone)
     assert lines.dedup(empty).count() == 0
 
 
