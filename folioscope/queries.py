@@ -542,10 +542,9 @@ def structure_over_tables(spark, d):
 
 @query("SELECT l_orderkey AS doc_id, 'content/table/cell' AS id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey")
 def content_over_tables(spark, d):
-    """The content plane as joins and filters over the block and cell tables."""
-    p = project(sheets(spark, d), tables=("sections", "blocks", "cells", "items"))
-    t = {k: open_table(p, k) for k in ("sections", "blocks", "cells", "items")}
-    return by_document(relational.content(t["sections"], t["blocks"], t["cells"], t["items"], contract(CELLS).body.slots[0]))
+    """The content plane over the tables of each document."""
+    p = project(sheets(spark, d), tables=("sections", "blocks", "grids"), scope_text=False)
+    return by_document(relational.content_within(p, contract(CELLS).body.slots[0]))
 
 
 @query("SELECT o_orderkey AS doc_id, 'Summary' AS name, 'Order of customer ' || o_custkey || ' with ' || count(l_orderkey) || ' lines.' AS text FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey")
