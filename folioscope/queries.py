@@ -165,8 +165,7 @@ def text_plane(spark, d):
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber::VARCHAR AS line, l_partkey::VARCHAR AS part, l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL")
 def table_round_trip(spark, d):
-    p = project(sheets(spark, d), tables=("blocks", "cells"))
-    rows = navigate.table_view(open_table(p, "blocks"), open_table(p, "cells"), ["line", "part", "flag", "status"], anchor="lines")
+    rows = navigate.grid_rows(project(sheets(spark, d), tables=("grids",)), ["line", "part", "flag", "status"], anchor="lines")
     return rows.groupBy("doc_id", "line", "part", "flag", "status").agg(F.count("*").alias("n"))
 
 
