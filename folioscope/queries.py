@@ -462,9 +462,9 @@ def rows_of_records(spark, d):
     """The first row of each sheet that holds what its last line does."""
     last = orders_with_lines(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.try_element_at("lines", F.lit(-1)).alias("x")).where("x IS NOT NULL")
     records = last.select("doc_id", *[F.col(f"x.{a}").cast("string").alias(b) for a, b in (("l_linenumber", "nr"), ("l_partkey", "part"), ("l_returnflag", "flag"), ("l_linestatus", "status"))])
-    p = project(sheets(spark, d), tables=("blocks", "cells"))
-    cells = open_table(p, "cells").withColumn("col_name", F.regexp_replace("col_name", "^line$", "nr"))
-    return navigate.rows_of_records(open_table(p, "blocks"), cells, records, ["nr", "part", "flag", "status"]).select("doc_id", "line")
+    columns = ["nr", "part", "flag", "status"]
+    rows = navigate.grid_rows(project(sheets(spark, d), tables=("grids",)), ["line", *columns[1:]], names=columns)
+    return navigate.first_rows_of_records(rows, records, columns).select("doc_id", "line")
 
 
 @query("SELECT o_orderkey AS doc_id, 'lines' AS slot, 14 AS line FROM orders")
