@@ -195,9 +195,7 @@ def section_of_line(spark, d):
 
 @query("SELECT o_orderkey AS doc_id, 'shipped' AS anchor FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus <> 'F')")
 def dead_anchors(spark, d):
-    p = project(sheets(spark, d), tables=("sections", "blocks", "refs"))
-    found = navigate.anchors(open_table(p, "sections"), open_table(p, "blocks"))
-    return navigate.dead_references(open_table(p, "refs"), found).select("doc_id", "anchor")
+    return navigate.dead_references_within(project(sheets(spark, d), tables=("refs", "anchors"))).select("doc_id", "anchor")
 
 
 @query("SELECT o_orderkey AS doc_id, k AS key, t AS json_type, v AS value, l AS line FROM orders, LATERAL (VALUES ('order', 'number', o_orderkey::VARCHAR, 2), ('status', 'string', '\"' || o_orderstatus || '\"', 3), ('priority', 'string', '\"' || o_orderpriority || '\"', 4)) x(k, t, v, l)")
