@@ -9,8 +9,8 @@ word left out of lines up to ``FEW_WORDS`` words (unless it is most of the line)
 of lines up to ``FEW_CHARS`` characters.  Lines that meet by MinHash are compared by their SimHash before their texts are
 fetched.  Pigeonhole blocks of the SimHash alone lose most near lines, and MinHash keys miss some by chance: README has the figures.
 
-No group meets in one task as a whole.  A task reduces the lines of a crowded key to a few that stand for the others before they
-are shuffled; clusters of more than ``BLOCK`` lines are compared block against block.  Both are bounded in memory.
+All lines of a key whose SimHashes are near meet, whatever their number: a key of many lines is dealt into blocks, and each pair of
+blocks is compared by SimHash in a task of its own; clusters of more than ``BLOCK`` lines are compared block against block.
 
 Lines without a word stay; null texts stay null; a text loses the line and its line feed; texts that lose nothing stay
 as they are, byte for byte; documents are ordered by doc_id, nulls first, and those that share one by a hash of their text; equal
@@ -107,8 +107,8 @@ BITS = 19
 #: A key's lowest bits name its kind: family and key, and the two kinds after them.
 KIND = 31
 _SEEDS = np.random.default_rng(7).integers(1, 2**31, 64, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-#: Lines of a key that are compared one with another; rows that a task holds before it sends them.
-CROWD, HELD = 256, 1 << 19
+#: Lines of a crowd; lines that a task knows as sent; lines of a block of a key, two of which are compared by SimHash in one task.
+CROWD, HELD, CROWD_BLOCK = 256, 1 << 19, 4096
 
 
 def _shorter(line: str) -> set[str]:
@@ -198,26 +198,24 @@ def signatures(x: Lines, only: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def balls(s: np.ndarray) -> Iterator[np.ndarray]:
-    """Places in ``s`` of lines that may be near: connected by near SimHashes, or of a crowd all that are near one that stands for them."""
-    n = len(s)
-    if n <= CROWD:
-        group = np.arange(n)
-        for x in range(n - 1):
-            near = group[x + 1 :][np.bitwise_count(s[x + 1 :] ^ s[x]) <= BITS]
-            for g in set(near.tolist()) - {int(group[x])}:
-                group[group == g] = group[x]
-        yield from (np.flatnonzero(group == g) for g in set(group.tolist()))
-        return
-    left = np.arange(n)
+    """Places in ``s`` of lines that may be near: connected by near SimHashes, of however many lines."""
+    left = np.arange(len(s))
     while len(left):
-        near = np.flatnonzero(np.bitwise_count(s ^ s[left[0]]) <= BITS)
-        # the first stands for the others
-        yield np.concatenate([left[:1], near[near != left[0]]])
-        left = left[np.bitwise_count(s[left] ^ s[left[0]]) > BITS]
+        found = [left[:1]]
+        left, k = left[1:], 0
+        front = [int(found[0][0])]
+        while k < len(front) and len(left):
+            near = np.bitwise_count(s[left] ^ s[front[k]]) <= BITS
+            k += 1
+            if near.any():
+                found.append(left[near])
+                front += left[near].tolist()
+                left = left[~near]
+        yield np.sort(np.concatenate(found))
 
 
 def gather(key: np.ndarray, ids: np.ndarray, s: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From rows by key, each line once in it: name and id of the lines of each ball, and which rows stand for the others.
+    """From rows by key, each line once in it: name and id of the lines of each ball, and which rows are the first of theirs.
 
     Keys of fewer lines than ``least`` are left as they are.  A ball is named by its lines, so that it is one under all keys.
     """
@@ -246,21 +244,8 @@ def gather(key: np.ndarray, ids: np.ndarray, s: np.ndarray, least: int = 2) -> t
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, s, met) of each task's distinct lines; ``met``: key names a ball that the task has found in a crowd."""
+    """(key, id, s) of each task's distinct lines."""
     known = np.zeros(0, U64)
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        key, ids, s = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
-        held.clear()
-        by = np.argsort(key, kind="stable")
-        key, ids, s = key[by], ids[by], s[by]
-        names, members, stands = gather(key, ids, s.view(U64), CROWD)
-        key, ids, s = (np.concatenate(x) for x in ((key[stands], names), (ids[stands], members), (s[stands], np.zeros(len(names), np.int64))))
-        met = np.arange(len(key)) >= stands.sum()
-        for a in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(v[a : a + (1 << 16)]) for v in (key, ids, s, met)], ["key", "id", "s", "met"])
-
     for batch in batches:
         for i, j in chunks(batch.column("text")):
             x = Lines(batch.column("text").slice(i, j - i))
@@ -277,31 +262,66 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = np.sort(np.concatenate([known, h[only]]))
             ids = h[only].view(np.int64)
             for row, key, s in signatures(x, only):
-                held.append((key.view(np.int64), ids[row], s.view(np.int64)))
-        if sum(len(x[0]) for x in held) > HELD:
-            yield from sent()
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), ids[row], s.view(np.int64))], ["key", "id", "s"])
         if len(known) > HELD:
             known = np.zeros(0, U64)
-    yield from sent()
+
+
+def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of rows sorted by ``column``, all rows of a value together."""
+    rest: dict[str, list[np.ndarray]] = {}
+    for batch in batches:
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        if not len(now[column]):
+            continue
+        if rest and rest[column][-1][-1] == now[column][0] == now[column][-1]:
+            for c, v in now.items():
+                rest[c].append(v)
+            continue
+        now = {c: np.concatenate([*rest.get(c, ()), v]) for c, v in now.items()}
+        open_from = int(np.searchsorted(now[column], now[column][-1]))
+        rest = {c: [v[open_from:]] for c, v in now.items()}
+        if open_from:
+            yield {c: v[:open_from] for c, v in now.items()}
+    if rest:
+        yield {c: np.concatenate(v) for c, v in rest.items()}
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, id, s, met) sorted by key and id: (cluster, id) of lines that may be near."""
+    """From (key, id, s) sorted by key and id: (cluster, id, s, open) of lines that may be near.
 
-    def found(key: np.ndarray, ids: np.ndarray, s: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    A key of more than two blocks of ``CROWD_BLOCK`` lines is dealt: its lines go to each pair of blocks that they are in, ``open``.
+    """
+    for x in _by("key", batches):
+        key, ids, s = x["key"], x["id"], x["s"]
         once = np.ones(len(key), bool)
         once[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        own = once & ~met
-        names, members, _ = gather(key[own], ids[own], s[own].view(U64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([names, key[once & met]])), pa.array(np.concatenate([members, ids[once & met]]))], ["cluster", "id"])
-
-    rest = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-    for batch in batches:
-        now = [np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False)]) for old, c in zip(rest, ("key", "id", "s", "met"), strict=True)]
-        open_from = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-        rest = [x[open_from:] for x in now]
-        yield found(*(x[:open_from] for x in now))
-    yield found(*rest)
+        key, ids, s = key[once], ids[once], s[once]
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        size = np.diff(np.append(first, len(key)))
+        crowded = np.repeat(size > 2 * CROWD_BLOCK, size)
+        names, members, _ = gather(key[~crowded], ids[~crowded], s[~crowded].view(U64))
+        yield _rows(names, members, np.zeros(len(names), np.int64), False)
+        for a, n in zip(first[size > 2 * CROWD_BLOCK].tolist(), size[size > 2 * CROWD_BLOCK].tolist(), strict=True):
+            blocks = -(-n // CROWD_BLOCK)
+            block = (mix(ids[a : a + n].view(U64)) % U64(blocks)).astype(np.int64)
+            for other in range(blocks):
+                at = np.flatnonzero(block != other)
+                low, high = np.minimum(block[at], other), np.maximum(block[at], other)
+                part = mix(key[a : a + 1].view(U64) + mix((low * blocks + high + 1).astype(U64))).view(np.int64)
+                yield _rows(part, ids[a + at], s[a + at], True)
+
+
+def _rows(cluster: np.ndarray, ids: np.ndarray, s: np.ndarray, opened: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(ids), pa.array(s), pa.array(np.full(len(ids), opened))], ["cluster", "id", "s", "open"])
+
+
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From what ``_met`` gives, sorted by cluster: (cluster, id); lines that met in pairs of blocks by their SimHashes."""
+    for x in _by("cluster", batches):
+        dealt = x["open"]
+        names, members, _ = gather(x["cluster"][dealt], x["id"][dealt], x["s"][dealt].view(U64)) if dealt.any() else (np.zeros(0, np.int64),) * 3
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x["cluster"][~dealt], names])), pa.array(np.concatenate([x["id"][~dealt], members]))], ["cluster", "id"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,6 +383,8 @@ def _verify(similarity: float):
         one, two = np.nonzero(np.tril(may, -1))
         if not len(one):
             return
+        nearest = np.argsort(apart[one, two], kind="stable")  # pairs that are connected by then are passed over
+        one, two = one[nearest], two[nearest]
         # characters that only one of two lines has take an edit for each two
         bag = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64) for x in lines])
         keep = np.concatenate([np.abs(bag[one[k : k + 4096]] - bag[two[k : k + 4096]]).sum(1) for k in range(0, len(one), 4096)]) <= 2 * most[one, two]
@@ -468,7 +490,16 @@ def alike(a: str, b: str, similarity: float) -> bool:
     most = longer - similarity * longer + 1e-9  # edits that are allowed
     if abs(len(a) - len(b)) > most:
         return False
-    return aligned(a, b, most) or edit_distance(a, b, most) <= most
+    return aligned(a, b, most) or _grams_apart(a, b) <= 6 * most and edit_distance(a, b, most) <= most
+
+
+def _grams_apart(a: str, b: str) -> int:
+    """Of how many character 3-grams only one has, by their hashes: an edit takes three and makes three at most."""
+    bags = []
+    for x in (a, b):
+        c = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+        bags.append(np.bincount((c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) & np.uint32(4095), minlength=4096))
+    return int(np.abs(bags[0] - bags[1]).sum())
 
 
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -526,8 +557,9 @@ def _texts(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 def links(texts: DataFrame, similarity: float) -> DataFrame:
     """A forest (a, b) of the links between distinct lines of ``texts`` (text), by their ids."""
-    near = texts.mapInArrow(_signed, "key long, id long, s long, met boolean")
-    near = cut(near.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_met, "cluster long, id long").distinct())
+    near = texts.mapInArrow(_signed, "key long, id long, s long")
+    near = near.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_met, "cluster long, id long, s long, open boolean")
+    near = cut(near.repartition("cluster").sortWithinPartitions("cluster", "open").mapInArrow(_crowds, "cluster long, id long").distinct())
     # the texts of the lines asked for come from a second pass, so no document is shuffled
     words = texts.sparkSession.sparkContext.broadcast(_filter(near.select("id").distinct()))
     lines = texts.mapInArrow(_texts(words), "id long, line string").groupBy("id").agg(F.min("line").alias("line"))

@@ -226,6 +226,35 @@ def test_a_crowd_is_stood_for_by_few():
     assert {i for _, i in met([batch.slice(0, 2000), batch.slice(1990, 1010)])} == set(ids.tolist())
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_no_near_pair_of_a_crowd_is_lost(monkeypatch, block):
+    # the third and fourth are near; the third else only to the first, the fourth to the second
+    monkeypatch.setattr(lines, "CROWD_BLOCK", block)
+    bits = lambda a, b: sum(1 << k for k in range(a, b))
+    own = [0, bits(0, 15) | bits(20, 45), bits(0, 15), bits(0, 15) | bits(20, 30)]
+    s = np.array([*own, *(np.random.default_rng(8).integers(0, 2**62, 600) | bits(20, 60))], np.int64)
+    key, ids = np.full(len(s), 9), np.arange(len(s))
+    near = [(a, b) for a in range(len(s)) for b in range(a) if int(s[a] ^ s[b]).bit_count() <= lines.BITS]
+    found = lines._met(iter([key_rows(key, ids, s)]))
+    rows = pa.Table.from_batches(found).sort_by([("cluster", "ascending"), ("open", "ascending")])
+    together = defaultdict(set)
+    for batch in lines._crowds(iter(rows.to_batches(max_chunksize=100))):
+        for c, i in zip(batch["cluster"].to_pylist(), batch["id"].to_pylist(), strict=True):
+            together[i].add(c)
+    assert (3, 2) in near and all(together[a] & together[b] for a, b in near)
+
+
+def test_grams_never_rule_out_a_near_line():
+    r = random.Random(12)
+    for _ in range(1500):
+        a = "".join(r.choice("ab\u00e9\U0001f600 ") for _ in range(r.randint(0, 30)))
+        b = list(a)
+        for _ in range(r.randint(0, 6)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 1)] = r.choice(["", "a", "\U0001f600"])
+        assert lines._grams_apart(a, "".join(b)) <= 6 * lines.edit_distance(a, "".join(b))
+
+
 def test_the_filter_of_wanted_lines_loses_none(spark):
     r = np.random.default_rng(6)
     ids = r.integers(-(2**63), 2**63 - 1, 3000)
