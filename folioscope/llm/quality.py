@@ -5,8 +5,8 @@ tokens of the text give characters per token, the share of byte-fallback tokens
 text outside the bands of its language, which the column lang names if there is one, is rejected; languages without bands of
 their own take those of the script.  The script is that of most of its non-ASCII-aware lead bytes.
 
-``fit`` takes the bands of languages from labelled good documents, a sample of ``MAX_FIT`` at most: just outside of the extremes of
-those that pass the base rules, so that what is rejected is what no good document of the sample is like.  Languages with fewer than
+``fit`` takes the bands of languages from all labelled good documents: just outside of the extremes of
+those that pass the base rules, so that what is rejected is what no good document is like.  Languages with fewer than
 ``LEAST_FIT`` of them have no bands of their own.
 
 Null texts have no words and fail; texts of a script without bands of its own take those of ``other``; the entropy asked
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import bounded, cut, small
 from .pieces import MODEL, Encoder, Vocabulary
 from .wordhash import _BYTES, SPACE, U64, Words, _powers, chunks, mix, split, windows
 
@@ -46,8 +46,8 @@ ENTROPY_TOKENS = 512
 #: mostly from Latin script.
 BANDS = {"latin": Band(1.25, 7.0, 0.15, 0.6), "greek": Band(0.6, 4.0, 0.15, 0.4), "cyrillic": Band(0.9, 5.0, 0.15, 0.4), "hebrew": Band(0.5, 3.0, 0.3, 0.35),
          "arabic": Band(0.5, 3.0, 0.3, 0.35), "cjk": Band(0.35, 2.5, 0.7, 0.3), "hangul": Band(0.35, 2.5, 0.7, 0.3), "other": Band(0.3, 7.0, 0.9, 0.3)}
-#: Labelled good documents that bands are fitted on, at most, and of a language at least.
-MAX_FIT, LEAST_FIT = 6000, 50
+#: Labelled good documents of a language that bands are fitted on, at least.
+LEAST_FIT = 50
 #: How far outside of their extremes a band lies, as a share of the extreme.
 MARGIN = 0.02
 SCRIPTS = [*BANDS]
@@ -158,19 +158,20 @@ def measure(docs: DataFrame, vocabulary: Vocabulary, bands: dict[str, Band] = BA
     return docs.select("doc_id", "text", lang).mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, fallback_share double, token_entropy double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, vocabulary: Vocabulary, max_fit: int = MAX_FIT) -> dict[str, Band]:
-    """Bands by language from the documents that ``labels`` (doc_id, quality) call good; copies of a text count once.
+def fit(docs: DataFrame, labels: DataFrame, vocabulary: Vocabulary, max_fit: int | None = None) -> dict[str, Band]:
+    """Bands by language from all documents that ``labels`` (doc_id, quality) call good; copies of a text count once.
 
-    Null ids, texts and languages are left out; without good documents there are no bands.  The sample is drawn by a hash of doc_id.
+    Null ids, texts and languages are left out; without good documents there are no bands.  Only with ``max_fit`` a sample of so many
+    is drawn, by a hash of doc_id.
     """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    n = good.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    if n > max_fit:  # a threshold leaves a few more or fewer than asked for, and the limit the bound
+    if max_fit is not None and (n := good.count()) > max_fit:  # a threshold leaves a few more or fewer than asked for, and the limit the bound
+        draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
         good = good.where(draw < int(max_fit / n * (1 << 30))).limit(max_fit)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(cut(good)), "doc_id").where("text IS NOT NULL AND lang IS NOT NULL").dropDuplicates(["text"])
-    lang = rows.select("doc_id", F.col("lang").cast("string").alias("_lang")).dropDuplicates(["doc_id"])
-    found = measure(rows, vocabulary).where("NOT base_failed AND script = 'latin'").join(lang, "doc_id")
+    rows = docs.select("doc_id", "text", "lang").join(small(cut(good)), "doc_id", "left_semi").where("text IS NOT NULL AND lang IS NOT NULL").dropDuplicates(["text"])
+    # the language goes beside the id, so that nothing is joined to find it again
+    named = rows.select(F.struct("doc_id", F.col("lang").cast("string").alias("lang")).alias("doc_id"), "text", "lang")
+    found = measure(named, vocabulary).where("NOT base_failed AND script = 'latin'").withColumn("_lang", F.col("doc_id.lang"))
     share = F.col("token_entropy") / F.log2(F.least(F.greatest(F.lit(2), F.col("n_tokens")), F.lit(ENTROPY_TOKENS)))
     ends = found.groupBy("_lang").agg(F.count("*").alias("n"), F.min("chars_per_token").alias("low"), F.max("chars_per_token").alias("high"), F.max("fallback_share").alias("fallback"), F.min(share).alias("entropy"))
     return {r["_lang"]: Band(r["low"] * (1 - MARGIN), r["high"] * (1 + MARGIN), r["fallback"] * (1 + MARGIN) + MARGIN / 4, r["entropy"] * (1 - MARGIN)) for r in ends.where(F.col("n") >= LEAST_FIT).collect()}

@@ -14,6 +14,7 @@ import pytest
 from conftest import ALNUM, LOWER, WORD
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folioscope.llm import counts, decontamination, language, licenses, pieces, quality, urls
 from folioscope.llm.queries import ORACLES, QUERIES
@@ -427,6 +428,19 @@ def test_fitted_bands_reject_bad_documents_and_no_good_ones(spark, sf_dir):
     assert 0 < len(quality.fit(docs, labels, v, 250)) <= len(bands)
 
 
+def test_bands_are_of_all_good_documents(spark):
+    # one of 6,500 good documents, and one that a sample of 6,000 leaves out, is unlike the others
+    good = spark.range(6500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    odd = good.where(draw >= int(6000 / 6500 * (1 << 30))).agg(F.min("doc_id")).first()[0]
+    words = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda k: F.conv((k * 7919 + F.col("doc_id") * 104729).cast("string"), 10, 26))
+    plain = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda k: F.concat(F.lit("house "), F.conv(k + F.col("doc_id"), 10, 26)))
+    docs = good.select("doc_id", F.array_join(F.when(F.col("doc_id") == odd, words).otherwise(plain), " ").alias("text"), F.lit("en").alias("lang"))
+    v = pieces.Vocabulary.load(pieces.MODEL)
+    got = quality.measure(docs, v, languages=quality.fit(docs, good, v))
+    assert got.where("kept").count() == got.where("NOT base_failed").count() and got.where(F.col("doc_id") == odd).first().kept
+
+
 # ---- language ------------------------------------------------------------------------------------------------
 
 WORDS = {"en": "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were", "fr": "le de un à être et en avoir que pour dans ce il qui ne sur se pas plus par je avec tout faire son mettre autre on mais nous", "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach"}
