@@ -264,6 +264,26 @@ def test_the_filter_of_wanted_lines_loses_none(spark):
     assert not lines.passes(lines._filter(spark.createDataFrame([], "id long")), ids.view(np.uint64)).any()
 
 
+def verified(rows):
+    columns = [[r[k] for r in rows] for k in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cluster", "part", "id", "line"])
+    return {frozenset(x) for b in lines._verify(0.8)(iter(batch.slice(k, 2) for k in range(0, len(rows), 2))) for x in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)}
+
+
+def test_no_near_pair_of_a_cluster_is_dropped_for_its_simhashes():
+    # an edit in each word: no word and few n-grams are common, and the SimHashes tell nothing
+    r = random.Random(31)
+    for k in range(40):
+        words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(25 + k)]
+        a, b, c = (" ".join(w[:2] + x + w[3:] for w in words) for x in "xyz")
+        assert lines.alike(a, b, 0.8)
+        assert verified([(1, 0, 7, a), (1, 0, 8, b)]) == {frozenset((7, 8))}
+        forest = Forest()
+        for x, y in verified([(1, 0, 6, " ".join(reversed(words))), (1, 0, 7, a), (1, 0, 8, b), (1, 0, 9, c)]):
+            forest.join(x, y)
+        assert forest.root(7) == forest.root(8) == forest.root(9) == 7 and forest.root(6) == 6
+
+
 def test_large_clusters_are_compared_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK", 8)
     r = random.Random(5)
