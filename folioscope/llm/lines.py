@@ -289,12 +289,19 @@ def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, id, s) sorted by key and id: (cluster, id, s, open) of lines that may be near.
+    """From (key, id, s) sorted by key: (cluster, id, s, open) of lines that may be near.
 
     A key of more than two blocks of ``CROWD_BLOCK`` lines is dealt: its lines go to each pair of blocks that they are in, ``open``.
     """
     for x in _by("key", batches):
         key, ids, s = x["key"], x["id"], x["s"]
+        more = np.zeros(len(key) + 1, bool)
+        more[1:-1] = key[1:] == key[:-1]
+        more = np.flatnonzero(more[1:] | more[:-1])
+        if not len(more):
+            continue
+        more = more[np.lexsort((ids[more], key[more]))]
+        key, ids, s = key[more], ids[more], s[more]
         once = np.ones(len(key), bool)
         once[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
         key, ids, s = key[once], ids[once], s[once]
@@ -333,23 +340,6 @@ def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cluster, home, ids)], ["cluster", "home", "id"])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct lines at their first place."""
-    for batch in batches:
-        ids, versions = batch.column("doc_id"), batch.column("v")
-        for i, j in chunks(batch.column("text")):
-            x = Lines(batch.column("text").slice(i, j - i))
-            if not len(x.at):
-                continue
-            h, g = x.hash(), x.hash(0xD6E8FEB86659FD93)
-            own = h ^ (x.doc.astype(U64) * _BASE)
-            once = np.argsort(own, kind="stable")
-            once = once[np.diff(own[once], prepend=~own[once[:1]]) != 0]
-            doc = pa.array(x.doc[once] + i)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(doc), versions.take(doc), pa.array(x.place[once].astype(np.int32)), *(pa.array(v[once].view(np.int64)) for v in (h, g))], ["doc_id", "v", "place", "h", "g"])
-
-
 #: Lines of a cluster that a task compares one with another: two blocks of so many.
 BLOCK = 512
 
@@ -369,7 +359,7 @@ class Links:
         self.similarity, self.forest, self.apart = similarity, Forest(), set()
 
     def near(self, i: int, j: int, a: str, b: str) -> bool:
-        """Whether the lines i and j link, as their texts were not compared before."""
+        """Whether the lines i and j link; lines that were found apart are not compared again."""
         pair = (i, j) if i < j else (j, i)
         if pair in self.apart:
             return False
@@ -552,37 +542,48 @@ def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (words[(ids >> U64(64 - (len(words).bit_length() - 1))).astype(np.int64)] & mask) == mask
 
 
-def _texts(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, line) of each task's distinct lines that pass the filter, which is broadcast."""
+def _scan(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each document's distinct lines at their first place; a line that passes the filter, which is broadcast, with its text once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, U64)
         for batch in batches:
+            ids, versions = batch.column("doc_id"), batch.column("v")
             for i, j in chunks(batch.column("text")):
                 x = Lines(batch.column("text").slice(i, j - i))
                 if not len(x.at):
                     continue
-                h = x.hash()
-                only = np.flatnonzero(passes(words.value, h))
-                only = only[np.unique(h[only], return_index=True)[1]]
+                h, g = x.hash(), x.hash(0xD6E8FEB86659FD93)
+                own = h ^ (x.doc.astype(U64) * _BASE)
+                once = np.argsort(own, kind="stable")
+                once = once[np.diff(own[once], prepend=~own[once[:1]]) != 0]
+                only = np.flatnonzero(passes(words.value, h[once]))
+                only = only[np.unique(h[once[only]], return_index=True)[1]]
                 if len(known):
-                    only = only[known[np.minimum(np.searchsorted(known, h[only]), len(known) - 1)] != h[only]]
-                known = np.sort(np.concatenate([known if len(known) < HELD else known[:0], h[only]]))
-                raw, start, end = x.w.data.tobytes(), x.w.start[x.at[only]].tolist(), x.w.end[x.at[only] + x.count[only] - 1].tolist()
+                    only = only[known[np.minimum(np.searchsorted(known, h[once[only]]), len(known) - 1)] != h[once[only]]]
+                only = np.sort(only)
+                at = once[only]
+                known = np.sort(np.concatenate([known if len(known) < HELD else known[:0], h[at]]))
+                raw, start, end = x.w.data.tobytes(), x.w.start[x.at[at]].tolist(), x.w.end[x.at[at] + x.count[at] - 1].tolist()
                 lines = pa.array([normalised(raw[a:b]) for a, b in zip(start, end, strict=True)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(h[only].view(np.int64)), lines], ["id", "line"])
+                which = np.full(len(once), -1)
+                which[only] = np.arange(len(only))
+                doc = pa.array(x.doc[once] + i)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(doc), versions.take(doc), pa.array(x.place[once].astype(np.int32)), *(pa.array(v[once].view(np.int64)) for v in (h, g)), lines.take(pa.array(which, mask=which < 0))], ["doc_id", "v", "place", "h", "g", "line"])
 
     return run
 
 
-def links(texts: DataFrame, similarity: float) -> DataFrame:
-    """A forest (a, b) of the links between distinct lines of ``texts`` (text), by their ids."""
+def meetings(texts: DataFrame) -> DataFrame:
+    """(cluster, home, id): the distinct lines of ``texts`` (text) that may be near others, with these."""
     near = texts.mapInArrow(_signed, "key long, id long, s long")
-    near = near.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_met, "cluster long, id long, s long, open boolean")
-    near = cut(near.repartition("cluster").sortWithinPartitions("cluster", "open").mapInArrow(_crowds, "cluster long, home long, id long").distinct())
-    # the texts of the lines asked for come from a second pass, so no document is shuffled
-    words = texts.sparkSession.sparkContext.broadcast(_filter(near.select("id").distinct()))
-    lines = texts.mapInArrow(_texts(words), "id long, line string").groupBy("id").agg(F.min("line").alias("line"))
+    near = near.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "cluster long, id long, s long, open boolean")
+    return cut(near.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_crowds, "cluster long, home long, id long").distinct())
+
+
+def links(near: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """A forest (a, b) of the links between lines (id, line) that meet, by their ids."""
     # a large cluster is dealt into blocks, each of which meets each other one
     blocks = near.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
@@ -600,9 +601,14 @@ def first_places(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     bounded(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("v"), "text")
-    found = rows.mapInArrow(_scan, f"doc_id {kind}, v long, place int, h long, g long")
-    distinct = cut(found.groupBy("h", "g").agg(F.min(F.struct("doc_id", "v", "place")).alias("f")).select("h", "f.*"))
-    group = small(components(links(rows.select("text"), similarity)))
+    near = meetings(rows.select("text"))
+    # the texts of the lines that meet come with the places of all lines, so no document is shuffled for them
+    words = docs.sparkSession.sparkContext.broadcast(_filter(near.select("id").distinct()))
+    found = rows.mapInArrow(_scan(words), f"doc_id {kind}, v long, place int, h long, g long, line string")
+    distinct = cut(found.groupBy("h", "g").agg(F.min(F.struct("doc_id", "v", "place")).alias("f"), F.min("line").alias("line")).select("h", "f.*", "line"))
+    lines = distinct.where("line IS NOT NULL").select(F.col("h").alias("id"), "line").dropDuplicates(["id"])
+    distinct = distinct.drop("line")
+    group = small(components(links(near, lines, similarity)))
     grouped = distinct.join(group, distinct.h == group.node, "left")
     alone = grouped.where("root IS NULL").select("doc_id", "v", "place")
     firsts = alone.unionByName(grouped.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "v", "place")).alias("f")).select("f.*"))

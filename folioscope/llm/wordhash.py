@@ -102,6 +102,11 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], kind, len(texts) + 1, texts.offset * np.dtype(kind).itemsize)
 
 
+def _translated(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[data]`` of bytes, by a table of 256 bytes or booleans."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def split(texts: pa.Array, lower: bool = False, separator: np.ndarray = SPACE) -> Words:
     """Words of each text (null: none), A-Z lower-cased first if ``lower``."""
     if texts.null_count:
@@ -111,11 +116,11 @@ def split(texts: pa.Array, lower: bool = False, separator: np.ndarray = SPACE) -
     data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
     base = ends - ends[0]
     if lower:
-        data = LOWER[data]
+        data = _translated(data, LOWER)
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, base, none, none, np.zeros(0, U64), np.zeros(len(base), np.int64))
-    gap = separator[data]
+    gap = _translated(data, separator)
     opens = ~gap
     before = np.empty(len(gap), bool)
     before[0] = True

@@ -284,6 +284,32 @@ def test_no_near_pair_of_a_cluster_is_dropped_for_its_simhashes():
         assert forest.root(7) == forest.root(8) == forest.root(9) == 7 and forest.root(6) == 6
 
 
+def test_lines_of_overlapping_clusters_are_compared_once(monkeypatch):
+    plain, asked = lines.alike, []
+    monkeypatch.setattr(lines, "alike", lambda a, b, similarity: asked.append(frozenset((a, b))) or plain(a, b, similarity))
+    base = [f"word{k}" for k in range(20)]
+    text = {k: " ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(1, 5)} | {9: " ".join(reversed(base))}
+    rows = [(c, 0, k, text[k]) for c, ids in enumerate([(1, 2), (1, 2, 3, 9), (1, 2, 4, 9), (1, 9)]) for k in ids]
+    assert len(verified(rows)) == 3 and len(asked) == len(set(asked))
+
+
+def test_bounded_distances_of_long_lines(monkeypatch):
+    r = random.Random(14)
+    for look in (4, 64):
+        monkeypatch.setattr(lines, "LOOK", look)
+        for _ in range(150):
+            a = "".join(r.choice("abcdef\u00e9") for _ in range(r.randint(20, 200)))
+            b = list(a)
+            for _ in range(r.randint(0, 25)):
+                k = r.randint(0, len(b))
+                b[k : k + r.randint(0, 4)] = [r.choice("abcde") for _ in range(r.randint(0, 4))]
+            b = "".join(b)
+            exact = lines.edit_distance(a, b)
+            for most in (exact - 1, exact - 0.5, exact, exact + 0.5, exact / 2, 0.2 * max(len(a), len(b))):
+                got = lines.edit_distance(a, b, most)
+                assert got == exact or most < min(got, exact)
+
+
 def test_large_clusters_are_compared_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK", 8)
     r = random.Random(5)
