@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded
+from .common import bounded, release
 from .wordhash import U64, chunks, split, windows
 
 #: Distinct labelled texts that the model is fitted on, at most.
@@ -224,7 +224,9 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())})
 
     found = rows.mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return LanguageModel.fit(found.toArrow())
+    model = LanguageModel.fit(found.toArrow())
+    release(labelled.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -446,3 +446,24 @@ def test_components(spark):
     got = {q.node: q.root for q in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert got == {x: root(x) for x in list(up)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_driver_gives_freed_memory_back(spark):
+    import ctypes
+    from pathlib import Path
+
+    from folioscope.llm import common
+
+    kept = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    malloc, free = ctypes.CDLL(None).malloc, ctypes.CDLL(None).free
+    malloc.restype, free.argtypes = ctypes.c_void_p, [ctypes.c_void_p]
+    blocks = []
+    for _ in range(1000):  # too small to be mapped on their own
+        blocks.append(malloc(100_000))
+        ctypes.memset(ctypes.c_void_p(blocks[-1]), 1, 100_000)
+    for x in blocks[:-1]:  # the last one keeps the heap's end where it is
+        free(x)
+    before = kept()
+    assert common.release(spark) in (True, False)
+    assert kept() < before - 50_000_000
+    free(blocks[-1])
