@@ -368,37 +368,67 @@ class Links:
         self.apart.add(pair)
         return False
 
-    def close(self, ids: list[int], lines: list[str]) -> Iterator[tuple[int, int]]:
+    def close(self, clusters: list[tuple[list[int], list[str]]]) -> Iterator[tuple[int, int]]:
+        """Links of clusters (ids, lines) that are looked at together, so that pairs far apart are told by the arrays of ``far``."""
         if len(self.forest.up) > REMEMBERED or len(self.apart) > REMEMBERED:
             self.forest, self.apart = Forest(), set()
-        n, forest = len(ids), self.forest
-        if n == 2:
-            if forest.root(ids[0]) != forest.root(ids[1]) and self.near(*ids, *lines):
-                forest.join(*ids)
-                yield ids[0], ids[1]
-            return
+        # neighbours in the order of the texts first: copies of many lines are connected by them, and few pairs are left
+        yield from self._compared([(ids, lines, *self._nearest(ids, lines, True)) for ids, lines in clusters])
+        rest = [(ids, lines, *self._nearest(ids, lines, False)) for ids, lines in clusters if len(ids) > 2]
+        most = PAIRS // 16
+        while rest := [x for x in rest if len(x[2])]:
+            # what connects a large cluster comes early, and most of its pairs need no look then
+            yield from self._compared([(ids, lines, one[:most], two[:most]) for ids, lines, one, two in rest])
+            rest = [(ids, lines, *self._open(ids, one[most:], two[most:])) for ids, lines, one, two in rest]
+            most *= 2
+
+    def _open(self, ids: list[int], one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that are not connected yet."""
+        if not len(one):
+            return one, two
+        group = np.array([self.forest.root(i) for i in ids])
+        open_ = group[one] != group[two]
+        return one[open_], two[open_]
+
+    def _nearest(self, ids: list[int], lines: list[str], neighbours: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs, nearest first, that are not connected and that lengths and counts of characters leave open."""
+        n = len(ids)
+        if neighbours:
+            by = np.array(sorted(range(n), key=lines.__getitem__))
+            one, two = self._open(ids, by[:-1], by[1:])
+        else:
+            group = np.array([self.forest.root(i) for i in ids])
+            one, two = np.nonzero(np.tril(group[:, None] != group, -1))
+        if n == 2 or not len(one):
+            return one, two
         size = np.array([len(x) for x in lines])
         bag = np.bincount(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32) % 64 + 64 * np.repeat(np.arange(n), size), minlength=64 * n).reshape(n, 64)
-        group = np.array([forest.root(i) for i in ids])
-        # neighbours in the order of the texts first: copies of many lines are connected by them, and few pairs are left
-        by = np.array(sorted(range(n), key=lines.__getitem__))
-        for one, two in ((by[:-1], by[1:]), (None, None)):
-            if one is None:
-                one, two = np.nonzero(np.tril(group[:, None] != group, -1))
-            open_ = group[one] != group[two]
-            one, two = one[open_], two[open_]
-            longer = np.maximum(size[one], size[two])
-            most = longer - self.similarity * longer + 1e-9
-            # characters that only one of two lines has take an edit for each two
-            apart = np.concatenate([np.zeros(0, np.int64), *(np.abs(bag[one[k : k + PAIRS]] - bag[two[k : k + PAIRS]]).sum(1) for k in range(0, len(one), PAIRS))])
-            may = (np.abs(size[one] - size[two]) <= most) & (apart <= 2 * most)
-            nearest = np.argsort((apart / longer)[may], kind="stable")
-            for x, y in zip(one[may][nearest].tolist(), two[may][nearest].tolist(), strict=True):
+        longer = np.maximum(size[one], size[two])
+        most = longer - self.similarity * longer + 1e-9
+        # characters that only one of two lines has take an edit for each two
+        apart = np.concatenate([np.zeros(0, np.int64), *(np.abs(bag[one[k : k + PAIRS]] - bag[two[k : k + PAIRS]]).sum(1) for k in range(0, len(one), PAIRS))])
+        may = (np.abs(size[one] - size[two]) <= most) & (apart <= 2 * most)
+        nearest = np.argsort((apart / longer)[may], kind="stable")
+        return one[may][nearest], two[may][nearest]
+
+    def _compared(self, clusters: list[tuple[list[int], list[str], np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        """The links among the pairs of lines."""
+        pairs = []
+        for ids, lines, one, two in clusters:
+            for x, y in zip(one.tolist(), two.tolist(), strict=True):
                 i, j = ids[x], ids[y]
-                if forest.root(i) != forest.root(j) and self.near(i, j, lines[x], lines[y]):
-                    forest.join(i, j)
-                    yield i, j
-            group = np.array([forest.root(i) for i in ids])
+                if ((i, j) if i < j else (j, i)) not in self.apart:
+                    pairs.append((i, j, lines[x], lines[y]))
+        by_length = sorted(range(len(pairs)), key=lambda k: len(pairs[k][2]))
+        apart = np.zeros(len(pairs), bool)
+        for k in range(0, len(pairs), AT_ONCE):
+            apart[by_length[k : k + AT_ONCE]] = far([pairs[m][2:] for m in by_length[k : k + AT_ONCE]], self.similarity)
+        for (i, j, a, b), gone in zip(pairs, apart.tolist(), strict=True):
+            if gone:
+                self.apart.add((i, j) if i < j else (j, i))
+            elif self.forest.root(i) != self.forest.root(j) and self.near(i, j, a, b):
+                self.forest.join(i, j)
+                yield i, j
 
 
 def _verify(similarity: float):
@@ -407,15 +437,16 @@ def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, now, ids, lines = Links(similarity), None, [], []
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            whole: list[tuple[list[int], list[str]]] = []
             for cluster, part, i, line in zip(*(batch.column(n).to_pylist() for n in ("cluster", "part", "id", "line")), strict=True):
                 if (cluster, part) != now:
-                    found += links.close(ids, lines) if len(ids) > 1 else ()
+                    if len(ids) > 1:
+                        whole.append((ids, lines))
                     now, ids, lines = (cluster, part), [], []
                 ids.append(i)
                 lines.append(line)
-            yield pack(found)
-        yield pack(list(links.close(ids, lines)) if len(ids) > 1 else [])
+            yield pack(list(links.close(whole)))
+        yield pack(list(links.close([(ids, lines)] if len(ids) > 1 else [])))
 
     def pack(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], ["a", "b"])
@@ -423,6 +454,72 @@ def _verify(similarity: float):
     return run
 
 
+#: Characters of a piece, one for each bit of a word; lines that are looked at by pieces have so many characters at most.
+PIECE, PIECED = 64, 4096
+#: Pairs that are looked at by pieces at once.
+AT_ONCE = 512
+
+
+def far(pairs: list[tuple[str, str]], similarity: float) -> np.ndarray:
+    """Which pairs have pieces that alone need more edits than are allowed; of the others nothing is known.
+
+    A piece of the longer line lies, in an alignment of few edits, within that many characters of its place in the other line.
+    Its least distance to any part of the other line there is counted for all at once (Myers 1999), with some characters taken
+    for equal; no alignment needs fewer edits than the sum.  Every second piece is looked at: of lines without relation these suffice.
+    """
+    out = np.zeros(len(pairs), bool)
+    size = np.array([(len(a), len(b)) for a, b in pairs], np.int64).reshape(-1, 2)
+    at = np.flatnonzero((size.max(1) >= PIECE) & (size.max(1) <= PIECED))
+    if not len(at):
+        return out
+    longer, shorter = size[at].max(1), size[at].min(1)
+    most = longer - similarity * longer + 1e-9
+    slack = most.astype(np.int64)
+    out[at] = longer - shorter > most
+    at, longer, shorter, most, slack = (v[~out[at]] for v in (at, longer, shorter, most, slack))
+    if not len(at):
+        return out
+    code = lambda x: np.frombuffer("".join(x).encode("utf-32-le"), np.uint32).astype(np.int64) % 64
+    whole = code([max(pairs[k], key=len) for k in at.tolist()])
+    # the shorter lines with room before and after, which equals nothing
+    room = np.full(int((shorter + 3 * slack).sum()) + PIECE, 64)
+    place = np.cumsum(shorter + 3 * slack) - shorter - 2 * slack
+    other = [min(reversed(pairs[k]), key=len) for k in at.tolist()]  # of two of one length not the same
+    room[np.arange(int(shorter.sum())) + np.repeat(place - np.cumsum(shorter) + shorter, shorter)] = code(other)
+    count = (longer // PIECE + 1) // 2
+    pair = np.repeat(np.arange(len(at)), count)
+    nth = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+    by = np.argsort(-slack[pair], kind="stable")
+    pair, nth = pair[by], nth[by]
+    n = len(pair)
+    lane = np.arange(n)
+    same = np.zeros((n, 65), U64)
+    begin = (np.cumsum(longer) - longer)[pair] + 2 * nth * PIECE
+    for k in range(PIECE):
+        same[lane, whole[begin + k]] |= U64(1) << U64(k)
+    same, row = same.ravel(), lane * 65
+    start = place[pair] + 2 * nth * PIECE - slack[pair]
+    steps = PIECE + 2 * slack[pair]
+    active = np.searchsorted(-steps, -np.arange(int(steps[0])))
+    up, down = np.full(n, ~U64(0)), np.zeros(n, U64)
+    score = np.full(n, PIECE, np.int64)
+    least = score.copy()
+    for t, k in enumerate(active.tolist()):
+        equal = same.take(row[:k] + room.take(start[:k] + t))
+        u, d = up[:k], down[:k]
+        diagonal = (((equal & u) + u) ^ u) | equal | d
+        more, less = d | ~(diagonal | u), u & diagonal
+        score[:k] += (more >> U64(63)).view(np.int64)
+        score[:k] -= (less >> U64(63)).view(np.int64)
+        np.minimum(least[:k], score[:k], out=least[:k])
+        more <<= U64(1)  # any part of the other line may begin here
+        less <<= U64(1)
+        np.bitwise_or(less, ~(diagonal | more), out=u)
+        np.bitwise_and(more, diagonal, out=d)
+    out[at] = np.bincount(pair, least, len(at)) > most
+    return out
+
+
 #: Characters after which a distance is looked at for whether it can still be small enough.
 LOOK = 64
 

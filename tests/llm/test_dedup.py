@@ -448,6 +448,53 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pieces_tell_only_pairs_that_are_apart():
+    r = random.Random(52)
+    words = ["".join(r.choice("abcdeéßz0") for _ in range(r.randint(1, 7))) for _ in range(60)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    pairs = [("", ""), ("a", ""), ("a" * 64, "a" * 64), ("ab" * 40, "b" * 70)]
+    for n in range(4, 120):
+        a = text(n)
+        pairs += [(a, text(n)), (text(n + 3), a), (a, a)]
+        for share in (0.05, 0.18, 0.22):
+            b = list(a)
+            for _ in range(int(len(a) * share)):
+                k = r.randrange(len(b))
+                b[k : k + 1] = r.choice(["", "x", b[k] + "y"])
+            pairs.append((a, "".join(b)))
+        pairs.append((a, a[len(a) // 6 :] + " " + text(1)))
+        pairs.append((a, text(n // 7 or 1) + " " + a))
+    apart = lines.far(pairs, 0.8)
+    for (a, b), gone in zip(pairs, apart.tolist(), strict=True):
+        assert not (gone and lines.alike(a, b, 0.8))
+    assert lines.far(pairs[:4], 0.8).tolist() == [False, False, False, True] and not len(lines.far([], 0.8))
+    unlike = [(text(40), text(40)) for _ in range(50)]
+    assert lines.far(unlike, 0.8).mean() > 0.5
+
+
+def test_clusters_looked_at_together_give_the_components_of_each_alone():
+    r = random.Random(53)
+    base = [" ".join("".join(r.choice("abcdef") for _ in range(r.randint(2, 6))) for _ in range(r.randint(3, 30))) for _ in range(12)]
+    text = {}
+    for k in range(120):
+        x = list(r.choice(base))
+        for _ in range(r.randint(0, len(x) // 8)):
+            x[r.randrange(len(x))] = r.choice("abcdef ")
+        text[k] = " ".join("".join(x).split())
+    clusters = [sorted(r.sample(range(120), n)) for n in (2, 2, 3, 40, 40, 80, 5, 2)]
+    want, got = Forest(), Forest()
+    for ids in clusters:
+        for n, i in enumerate(ids):
+            for j in ids[:n]:
+                if lines.alike(text[i], text[j], 0.8):
+                    want.join(i, j)
+    for a, b in verified([(c, 0, k, text[k]) for c, ids in enumerate(clusters) for k in ids]):
+        got.join(a, b)
+    for a, b in lines.Links(0.8).close([(ids, [text[i] for i in ids]) for ids in clusters]):
+        assert got.root(a) == got.root(b)
+    assert [got.root(k) for k in range(120)] == [want.root(k) for k in range(120)]
+
+
 def test_the_driver_gives_freed_memory_back(spark):
     import ctypes
     from pathlib import Path
