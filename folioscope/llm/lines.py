@@ -25,16 +25,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, small
+from .common import bounded, cut, keep_memory, small
 from .components import Forest, components
-from .wordhash import _BASE, U64, _offsets, _powers, chunks, mix, split, windows
+from .wordhash import _BASE, U64, _offsets, _powers, _translated, chunks, mix, split
 
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[0x30:0x3A] = NOT_WORD[0x41:0x5B] = NOT_WORD[0x61:0x7B] = NOT_WORD[0x80:] = False
-LANES = U64(0x0001000100010001)
+LANES = U64(0x0101010101010101)
 
 
 class Lines:
@@ -43,13 +44,14 @@ class Lines:
     def __init__(self, texts: pa.Array):
         w = split(texts, lower=True, separator=NOT_WORD)
         self.w = w
-        feeds = np.concatenate([[0], np.cumsum(w.data == 10)])
-        doc = w.doc
-        line = feeds[w.start] + doc  # a new number at each line feed and at each text
-        self.at = np.flatnonzero(np.diff(line, prepend=-1) != 0)
-        self.doc = doc[self.at]
-        self.place = feeds[w.start[self.at]] - feeds[w.base[:-1]][self.doc]
-        self.count = np.diff(np.append(self.at, len(line)))
+        feeds = np.flatnonzero(w.data == 10)
+        opens = np.zeros(len(w.start) + 1, bool)  # the first word after each line feed and of each text
+        opens[np.searchsorted(w.start, feeds)] = True
+        opens[w.first[:-1]] = True
+        self.at = np.flatnonzero(opens[:-1])
+        self.doc = np.searchsorted(w.first, self.at, side="right") - 1
+        self.place = np.searchsorted(feeds, w.start[self.at]) - np.searchsorted(feeds, w.base[:-1])[self.doc]
+        self.count = np.diff(np.append(self.at, len(w.start)))
 
     def hash(self, seed: int = 0) -> np.ndarray:
         """A hash of each line's words in order; of another seed another one."""
@@ -60,23 +62,50 @@ class Lines:
         return mix(np.add.reduceat((mix(w.hash ^ U64(seed)) if seed else w.hash) * power, at))
 
 
+class Places:
+    """Lines of one chunk of texts (null: none), each with its line feed, by bytes alone."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts = texts
+        texts = texts.fill_null("") if texts.null_count else texts
+        ends = _offsets(texts).astype(np.int64)
+        raw = texts.buffers()[2]
+        self.data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
+        self.base = ends - ends[0]
+        begins = np.zeros(len(self.data) + 1, bool)
+        begins[1:] = self.data == 10
+        begins[self.base[:-1]] = True
+        self.start = np.flatnonzero(begins[:-1])
+        #: of each text its first line, and the end
+        self.first = np.searchsorted(self.start, self.base)
+        #: numbers of the lines with a word, and of each its text and its place in it
+        self.at = np.flatnonzero(np.logical_or.reduceat(_translated(self.data, ~NOT_WORD), self.start)) if len(self.start) else self.start
+        self.doc = np.searchsorted(self.first, self.at, side="right") - 1
+        self.place = self.at - self.first[self.doc]
+
+    def without(self, gone: np.ndarray) -> pa.Array:
+        """The texts without the lines ``gone``, a flag for each line with a word, and a line feed of each."""
+        stays = np.ones(len(self.start), bool)
+        stays[self.at[gone]] = False
+        size = np.diff(np.append(self.start, len(self.data)))
+        kept = np.repeat(stays, size)
+        # a text that loses its last line ends without the line feed of the last that stays; what ends in one has an empty last line
+        full = np.flatnonzero(np.diff(self.base) > 0)
+        full = full[~stays[self.first[full + 1] - 1]]
+        last = np.maximum.accumulate(np.where(stays, np.arange(len(stays)), -1))[self.first[full + 1] - 1]
+        full, last = full[last >= self.first[full]], last[last >= self.first[full]]
+        ends_open = self.data[self.base[full + 1] - 1] != 10
+        kept[(self.start + size)[last[ends_open]] - 1] = False
+        total = np.concatenate([[0], np.cumsum(size * stays)])[self.first]
+        total[1:] -= np.cumsum(np.bincount(full[ends_open], minlength=len(self.base) - 1))
+        body = pa.StringArray.from_buffers(len(self.texts), pa.py_buffer(total.astype(np.int32)), pa.py_buffer(self.data[kept]))
+        return pc.if_else(self.texts.is_valid(), body, pa.scalar(None, pa.string())) if self.texts.null_count else body
+
+
 def places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of each line with a word its text's number and its place in it."""
-    texts = texts.fill_null("") if texts.null_count else texts
-    ends = _offsets(texts).astype(np.int64)
-    raw = texts.buffers()[2]
-    if raw is None or ends[0] == ends[-1]:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data, base = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
-    full = base[:-1][np.diff(base) > 0]
-    begins = np.zeros(len(data) + 1, bool)
-    begins[1:] = data == 10
-    begins[full] = True
-    start = np.flatnonzero(begins[:-1])
-    word = np.add.reduceat(~NOT_WORD[data], start) > 0
-    doc = np.searchsorted(base, start, side="right") - 1
-    feeds = np.concatenate([[0], np.cumsum(data == 10)])
-    return doc[word], (feeds[start] - feeds[base[:-1]][doc])[word]
+    x = Places(texts)
+    return x.doc, x.place
 
 
 def simhash(hashed: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -85,15 +114,19 @@ def simhash(hashed: np.ndarray, count: np.ndarray) -> np.ndarray:
     if not len(count):
         return out
     at = np.cumsum(count) - count
-    if count.max() > 0xFFFF:
+    if count.max() > 0xFF:
+        few = count <= 0xFF
+        if few.any():
+            of_few = np.repeat(few, count)
+            out[few], out[~few] = simhash(hashed[of_few], count[few]), simhash(hashed[~of_few], count[~few])
+            return out
         for b in range(64):
             out |= (2 * np.add.reduceat((hashed >> U64(b)) & U64(1), at).astype(np.int64) > count).astype(U64) << U64(b)
         return out
-    for b in range(16):  # four counters of 16 bits in a word
-        sums = np.add.reduceat((hashed >> U64(b)) & LANES, at)
-        for lane in range(4):
-            out |= (2 * ((sums >> U64(16 * lane)) & U64(0xFFFF)).astype(np.int64) > count).astype(U64) << U64(b + 16 * lane)
-    return out
+    # eight counters of 8 bits in a word
+    sums = np.stack([np.add.reduceat((hashed >> U64(b)) & LANES, at) for b in range(8)])
+    more = sums.view(np.uint8).reshape(8, -1, 8) > (count // 2).astype(np.uint8)[:, None]
+    return np.ascontiguousarray(np.packbits(more, axis=0, bitorder="little")[0]).view("<u8").ravel().astype(U64, copy=False)
 
 
 #: Keys by MinHash: of words for lines of ``MANY_WORDS`` and more, of character n-grams for lines of up to ``SOME_WORDS`` (n, and the
@@ -245,6 +278,7 @@ def gather(key: np.ndarray, ids: np.ndarray, s: np.ndarray, least: int = 2) -> t
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, id, s) of each task's distinct lines."""
+    keep_memory()
     known = np.zeros(0, U64)
     for batch in batches:
         for i, j in chunks(batch.column("text")):
@@ -293,6 +327,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A key of more than two blocks of ``CROWD_BLOCK`` lines is dealt: its lines go to each pair of blocks that they are in, ``open``.
     """
+    keep_memory()
     for x in _by("key", batches):
         key, ids, s = x["key"], x["id"], x["s"]
         more = np.zeros(len(key) + 1, bool)
@@ -419,6 +454,13 @@ class Links:
                 i, j = ids[x], ids[y]
                 if ((i, j) if i < j else (j, i)) not in self.apart:
                     pairs.append((i, j, lines[x], lines[y]))
+        share = grams_share([x[2:] for x in pairs], self.similarity)
+        # most pairs of few unlike grams link, and aligned words show it; pieces tell others apart
+        for k in np.flatnonzero(share < LIKELY).tolist():
+            yield from self._joined(*pairs[k])
+        for i, j, *_ in (pairs[k] for k in np.flatnonzero(share > 1).tolist()):
+            self.apart.add((i, j) if i < j else (j, i))
+        pairs = [x for x in (pairs[k] for k in np.flatnonzero((share >= LIKELY) & (share <= 1)).tolist()) if self.forest.root(x[0]) != self.forest.root(x[1])]
         by_length = sorted(range(len(pairs)), key=lambda k: len(pairs[k][2]))
         apart = np.zeros(len(pairs), bool)
         for k in range(0, len(pairs), AT_ONCE):
@@ -426,15 +468,21 @@ class Links:
         for (i, j, a, b), gone in zip(pairs, apart.tolist(), strict=True):
             if gone:
                 self.apart.add((i, j) if i < j else (j, i))
-            elif self.forest.root(i) != self.forest.root(j) and self.near(i, j, a, b):
-                self.forest.join(i, j)
-                yield i, j
+            else:
+                yield from self._joined(i, j, a, b)
+
+    def _joined(self, i: int, j: int, a: str, b: str) -> Iterator[tuple[int, int]]:
+        """The link of i and j, if they are not connected yet and link."""
+        if self.forest.root(i) != self.forest.root(j) and self.near(i, j, a, b):
+            self.forest.join(i, j)
+            yield i, j
 
 
 def _verify(similarity: float):
     """From (cluster, part, id, line), the rows of a cluster's part together: a forest of links by edit similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         links, now, ids, lines = Links(similarity), None, [], []
         for batch in batches:
             whole: list[tuple[list[int], list[str]]] = []
@@ -520,6 +568,29 @@ def far(pairs: list[tuple[str, str]], similarity: float) -> np.ndarray:
     return out
 
 
+#: Pairs that are compared without a look at their pieces: with so small a share of the unlike 3-grams that are allowed; pairs whose
+#: 3-grams are counted at once.
+LIKELY, COUNTED = 0.4, 64
+
+
+def grams_share(pairs: list[tuple[str, str]], similarity: float) -> np.ndarray:
+    """Of each pair the 3-grams that only one has, by ``_grams``, as a share of those that the allowed edits can make: over 1 no link."""
+    out = np.zeros(len(pairs))
+    for at in range(0, len(pairs), COUNTED):
+        now = pairs[at : at + COUNTED]
+        nth: dict[str, int] = {}
+        one, two = (np.array([nth.setdefault(x[k], len(nth)) for x in now]) for k in range(2))
+        size = np.array([len(x) for x in nth])
+        gram = _grams("".join(nth) + "  ").astype(np.int64)
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        own = place < np.repeat(size - 2, size)  # within one line
+        bag = np.bincount((gram + np.repeat(np.arange(len(size)) * 4096, size))[own], minlength=4096 * len(size)).reshape(-1, 4096).astype(np.float32)
+        longer = np.maximum(size[one], size[two])
+        apart = [np.abs(bag[one[k : k + 32]] - bag[two[k : k + 32]]).sum(1) for k in range(0, len(now), 32)]
+        out[at : at + COUNTED] = np.concatenate(apart) / (6 * (longer - similarity * longer + 1e-9))
+    return out
+
+
 #: Characters after which a distance is looked at for whether it can still be small enough.
 LOOK = 64
 
@@ -643,6 +714,7 @@ def _scan(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     """Each document's distinct lines at their first place; a line that passes the filter, which is broadcast, with its text once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         known = np.zeros(0, U64)
         for batch in batches:
             ids, versions = batch.column("doc_id"), batch.column("v")
@@ -720,24 +792,19 @@ def dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for batch in batches:
             for i, j in chunks(batch.column("text")):
                 part = batch.slice(i, j - i)
-                doc, place = places(part.column("text"))
-                ends = np.searchsorted(doc, np.arange(j - i + 1))
-                total = np.diff(ends)
+                x = Places(part.column("text"))
+                total = np.bincount(x.doc, minlength=j - i)
                 stays = part.column("_line_dedup_first")
-                lost = total - stays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                kept = part.column("text")
-                if lost.any():
-                    bodies = kept.to_pylist()
-                    for k in np.flatnonzero(lost).tolist():
-                        gone = set(place[ends[k] : ends[k + 1]].tolist()).difference(stays[k].as_py() or ())
-                        bodies[k] = "\n".join(s for n, s in enumerate(bodies[k].split("\n")) if n not in gone)
-                        lost[k] = len(gone)
-                    kept = pa.array(bodies, pa.string())
+                own = np.repeat(np.arange(j - i), stays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                gone = ~np.isin(x.doc << 32 | x.place, own << 32 | stays.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                lost = np.bincount(x.doc[gone], minlength=j - i)
+                kept = x.without(gone) if gone.any() else x.texts
                 columns = [kept if c == "text" else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(lost.astype(np.int64))], [*names, "_n_lines", "_n_removed"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(lost)], [*names, "_n_lines", "_n_removed"])
 
     return joined.mapInArrow(run, schema)
 

@@ -135,7 +135,7 @@ def split(texts: pa.Array, lower: bool = False, separator: np.ndarray = SPACE) -
     end = np.flatnonzero(opens & after) + 1
     if not len(start):
         return Words(data, base, start, end, np.zeros(0, U64), np.zeros(len(base), np.int64))
-    hashed = spans(_BYTES[data], start, end)
+    hashed = spans(_BYTES.take(data, mode="clip"), start, end)  # clipping nothing, it is faster than looking for what lies outside
     return Words(data, base, start, end, hashed, np.searchsorted(start, base))
 
 

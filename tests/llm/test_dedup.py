@@ -495,6 +495,44 @@ def test_clusters_looked_at_together_give_the_components_of_each_alone():
     assert [got.root(k) for k in range(120)] == [want.root(k) for k in range(120)]
 
 
+def test_only_pairs_that_grams_leave_open_are_looked_at_by_pieces(monkeypatch):
+    plain, asked = lines.far, []
+    monkeypatch.setattr(lines, "far", lambda pairs, similarity: asked.extend(frozenset(x) for x in pairs) or plain(pairs, similarity))
+    r = random.Random(54)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(6))
+    first, second = ([word(letters) for _ in range(40)] for letters in ("abcdef", "ghijkl"))
+    near = [" ".join([*first[:k], "new", *first[k + 1 :]]) for k in (3, 30)]
+    # the same words in another order: grams are common, places are not
+    text = {1: near[0], 2: near[1], 3: " ".join(second), 4: " ".join(reversed(first[:30])) + " " + " ".join(second[:10])}
+    assert verified([(c, 0, k, text[k]) for c, ids in enumerate([(1, 2), (1, 3), (1, 4)]) for k in ids]) == {frozenset((1, 2))}
+    assert asked == [frozenset((text[1], text[4]))]
+
+
+def test_grams_of_many_pairs_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(lines, "COUNTED", 7)
+    r = random.Random(55)
+    text = ["".join(r.choice("ab \u00e9\U0001f600") for _ in range(r.choice([0, 1, 2, 3, 10, 90]))) for _ in range(40)]
+    pairs = [(r.choice(text), r.choice(text)) for _ in range(60)]
+    for (a, b), share in zip(pairs, lines.grams_share(pairs, 0.8).tolist(), strict=True):
+        longer = max(len(a), len(b))
+        assert abs(share * 6 * (longer - 0.8 * longer + 1e-9) - lines._grams_apart(a, b)) < 1e-3
+        assert share <= 1 or not lines.alike(a, b, 0.8)
+    assert not len(lines.grams_share([], 0.8))
+
+
+def test_texts_without_lines_are_those_of_the_split_text():
+    r = random.Random(56)
+    for _ in range(300):
+        texts = pa.array([None if r.random() < 0.1 else "".join(r.choice("\n\n\n a.\u00e9-b") for _ in range(r.choice([0, 1, 2, 5, 20]))) for _ in range(r.randint(0, 5))], pa.string())
+        x = lines.Places(texts.slice(1) if r.random() < 0.5 else texts)
+        gone = np.array([r.random() < 0.5 for _ in x.at], bool)
+        got = x.without(gone)
+        got.validate(full=True)
+        for k, (text, kept) in enumerate(zip(x.texts.to_pylist(), got.to_pylist(), strict=True)):
+            out = set(x.place[gone & (x.doc == k)].tolist())
+            assert kept == (text if text is None else "\n".join(s for n, s in enumerate(text.split("\n")) if n not in out))
+
+
 def test_the_driver_gives_freed_memory_back(spark):
     import ctypes
     from pathlib import Path
