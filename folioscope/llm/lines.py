@@ -19,7 +19,6 @@ rows are one document, and each gives its own result; empty tables give no rows;
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, cut, keep_memory, small
 from .components import Forest, components
-from .wordhash import _BASE, U64, _offsets, _powers, _translated, chunks, mix, split
+from .wordhash import _BASE, LOWER, U64, _offsets, _powers, _translated, chunks, mix, split
 
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[0x30:0x3A] = NOT_WORD[0x41:0x5B] = NOT_WORD[0x61:0x7B] = NOT_WORD[0x80:] = False
@@ -434,7 +433,7 @@ class Links:
         else:
             group = np.array([self.forest.root(i) for i in ids])
             one, two = np.nonzero(np.tril(group[:, None] != group, -1))
-        if n == 2 or not len(one):
+        if neighbours or n == 2 or not len(one):  # grams tell neighbours apart
             return one, two
         size = np.array([len(x) for x in lines])
         bag = np.bincount(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32) % 64 + 64 * np.repeat(np.arange(n), size), minlength=64 * n).reshape(n, 64)
@@ -553,7 +552,7 @@ def far(pairs: list[tuple[str, str]], similarity: float) -> np.ndarray:
     score = np.full(n, PIECE, np.int64)
     least = score.copy()
     for t, k in enumerate(active.tolist()):
-        equal = same.take(row[:k] + room.take(start[:k] + t))
+        equal = same.take(row[:k] + room.take(start[:k] + t, mode="clip"), mode="clip")
         u, d = up[:k], down[:k]
         diagonal = (((equal & u) + u) ^ u) | equal | d
         more, less = d | ~(diagonal | u), u & diagonal
@@ -680,12 +679,13 @@ def _bags_apart(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.abs(np.bincount(a, minlength=4096) - np.bincount(b, minlength=4096)).sum())
 
 
-_WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Of bytes, only A-Z become lower.
+_SPACED = bytes(0x20 if gap else byte for gap, byte in zip(NOT_WORD.tolist(), LOWER.tolist(), strict=True))
 
 
 def normalised(line: bytes) -> bytes:
     """The words of a line."""
-    return b" ".join(_WORDS.findall(line.lower()))  # of bytes, only A-Z become lower
+    return b" ".join(line.translate(_SPACED).split())
 
 
 #: Words of 64 bits of the filter that says which lines are wanted, at most, as a power of two; bits of it for each line.
